@@ -10,13 +10,16 @@ Checksums are CRC-32, rotated right by 15 bits plus a constant, so that a checks
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,14 @@ from queryscope.llm.common import open_fs, put, scratch, stored
 MAGIC = b"QSIDX\x00\x00\x01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
 #: Cached pieces of text in a worker; when full, the cache starts anew.
-_CACHE = 300_000
+_CACHE = 800_000
+#: Cached words of pieces in a worker.
+_WORDS = 500_000
+#: Printable ASCII and Latin letters, for which lower-casing goes character by character and normal form C changes nothing.
+_PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
+#: Fixed pattern: the words that the tokenizer of this kind makes of a piece.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = regex.compile(_PATTERN).findall
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -79,34 +89,63 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.pieces = self.piecewise()
+        settings = json.loads(self.tok.to_str())
+        self.pieces = self.piecewise(settings)
         self.cache: dict[str, bytes] = {}
-
-    def piecewise(self) -> bool:
-        import json
-
-        j = json.loads(self.tok.to_str())
-        norm, pre = json.dumps(j["normalizer"] or ""), (j["pre_tokenizer"] or {}).get("pretokenizers") or [j["pre_tokenizer"] or {}]
-        split = pre[0]
-        drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s" in str(split.get("pattern"))
+        self.words: dict[str, bytes] = {}
+        #: which ids end a word, if the vocabulary marks that and words are cut as _WORD does
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.pieces and self.pattern == _PATTERN:
+            self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def piecewise(self, j: dict) -> bool:
+        pre = j["pre_tokenizer"] or {}
+        split = (pre.get("pretokenizers") or [pre])[0]
+        self.pattern = (split.get("pattern") or {}).get("Regex", "") if isinstance(split.get("pattern"), dict) else ""
+        drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s" in self.pattern
         plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in j["added_tokens"])
-        return bool(drops and plain and "Prepend" not in norm and j["post_processor"] is None)
+        return bool(drops and plain and "Prepend" not in json.dumps(j["normalizer"]) and j["post_processor"] is None)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``width`` bytes each."""
         if not self.pieces:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.cache) > _CACHE:
             self.cache.clear()
-        new = list({p for s in split for p in s if p not in self.cache})
-        for k in range(0, len(new), 20_000):
-            block = new[k : k + 20_000]
-            found = self.tok.encode_batch_fast(block, add_special_tokens=False)
-            self.cache.update(zip(block, (np.array(e.ids, self.kind).tobytes() for e in found), strict=True))
+        new: set[str] = set()
+        for s in split:
+            new.update(filterfalse(self.cache.__contains__, s))
+        self._learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Add the ids of new pieces: plain ones are put together from words that are encoded once, others encoded singly."""
+        plain = [p for p in pieces if self.ends is not None and _PLAIN(p) and "<|" not in p]
+        odd = list(pieces.difference(plain))
+        self.cache.update(zip(odd, (self._bytes(e.ids) for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        if len(self.words) > _WORDS:
+            self.words.clear()
+        cut = [_WORD(p.lower()) for p in plain]
+        new = list({w for c in cut for w in c if w not in self.words})
+        for k in range(0, len(new), 500):
+            block = new[k : k + 500]
+            flat = self._bytes(self.tok.encode(" ".join(block), add_special_tokens=False).ids)
+            stops = np.flatnonzero(self.ends[np.frombuffer(flat, self.kind)]) + 1
+            if len(stops) == len(block):
+                cuts = [0, *(stops * self.width).tolist()]
+                self.words.update(zip(block, (flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                self.words.update(zip(block, (self._bytes(e.ids) for e in self.tok.encode_batch_fast(block, add_special_tokens=False)), strict=True))
+        get = self.words.__getitem__
+        self.cache.update(zip(plain, (b"".join(map(get, c)) for c in cut), strict=True))
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
