@@ -140,21 +140,24 @@ class Plan:
         return out
 
     def probes(self, fps: np.ndarray):
-        """(partition, value, fingerprint) arrays of all probes."""
+        """(partition, value, fingerprint, thresholds) arrays of all probes; thresholds + 1 take 4 bits a partition."""
         t = self.thresholds(fps)
+        packed = np.zeros(len(fps), np.int64)
+        for i in range(len(self.masks)):
+            packed |= (t[:, i] + 1) << (4 * i)
         for i, mask in enumerate(self.masks):
             for k, flips in enumerate(self.flips[i]):
-                own = fps[t[:, i] == k]
+                own, own_t = fps[t[:, i] == k], packed[t[:, i] == k]
                 for s in range(0, len(own), max(1, (1 << 18) // len(flips))):
-                    part = own[s : s + max(1, (1 << 18) // len(flips))]
+                    part, part_t = (x[s : s + max(1, (1 << 18) // len(flips))] for x in (own, own_t))
                     keys = (part & np.uint64(mask))[:, None] ^ flips[None, :]
-                    yield i, keys.ravel(), np.repeat(part, len(flips))
+                    yield i, keys.ravel(), np.repeat(part, len(flips)), np.repeat(part_t, len(flips))
 
 
 def make_plan(fps: DataFrame, tau: int, parts: int | None = None) -> Plan:
     """A plan over all rows of ``fps`` (fp long, distinct). Partitions get about log2(n) bits, so buckets stay short."""
     n = fps.count()
-    m = parts or int(min(tau + 1, max(1, BITS // max(16, int(np.ceil(np.log2(n + 1)))))))
+    m = parts or int(min(tau + 1, 15, max(1, BITS // max(16, int(np.ceil(np.log2(n + 1)))))))
     groups = group_bits(_correlations(fps), m)
     blocks = [[g[k : k + _BLOCK] for k in range(0, len(g), _BLOCK)] for g in groups]
 
@@ -192,14 +195,15 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, long_bucket: i
 
     def run(batches):
         for b in batches:
-            for i, keys, own in plan.probes(b.column(0).to_numpy().view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(own.view(np.int64))], names=["part", "key", "u"])
+            for i, keys, own, t in plan.probes(b.column(0).to_numpy().view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(own.view(np.int64)), pa.array(t)], names=["part", "key", "u", "t"])
 
     index = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mk))).alias("key"), F.col("fp").alias("v")) for i, mk in enumerate(masks)])).alias("x")).select("x.*")
-    probes = fps.select("fp").mapInArrow(run, "part int, key long, u long")
+    probes = fps.select("fp").mapInArrow(run, "part int, key long, u long, t long")
     keys = ["part", "key"]
     lengthy = stored(index.groupBy(*keys).count().where(F.col("count") > long_bucket).select(*keys), "lengthy")
-    if not lengthy.isEmpty():
+    split_more = not lengthy.isEmpty()
+    if split_more:
         rest = [[b for b in range(BITS) if not mk >> b & 1] for mk in masks]
         subs = F.array(*[F.array(*[F.lit(_signed(sum(1 << b for b in chunk))) for chunk in np.array_split(r, tau + 1)]) for r in rest])
 
@@ -212,8 +216,14 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, long_bucket: i
         index, probes, keys = split(index, "v"), split(probes, "u"), [*keys, "sub", "subkey"]
     p, x = probes.alias("p"), index.alias("x")
     on = [F.col(f"p.{k}") == F.col(f"x.{k}") for k in keys]
-    on += [F.col("u") < F.col("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= tau]
-    return p.join(x, on).select("u", "v").distinct()
+    diff = F.col("u").bitwiseXOR(F.col("v"))
+    on += [F.col("u") < F.col("v"), F.bit_count(diff) <= tau]
+    for k, mk in enumerate(masks[:-1]):
+        #: a pair that several partitions find comes from the first of them alone
+        allowed = F.shiftright("t", 4 * k).bitwiseAND(F.lit(15)) - 1
+        on.append((F.col("p.part") <= k) | (F.bit_count(diff.bitwiseAND(F.lit(_signed(mk)))) > allowed))
+    found = p.join(x, on).select("u", "v")
+    return found.distinct() if split_more else found
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", min_jaccard: float | None = None, verify_words: int = 5) -> DataFrame:
