@@ -266,7 +266,7 @@ def _terms(spark):
     return spark.sql(f"select query_id, i, lower(w) as form, w from values {rows} as t(query_id, i, w)").select("query_id", "i", text.lemma(F.col("w")).alias("term"), "form")
 
 
-_QT = "qt as (select query_id, i, w as form, regexp_replace(w, '" + text.ENDING + "', '') as term from (values " + ", ".join(f"({q}, {i}, '{w}')" for q, ws in QUERY_LIST for i, w in enumerate(ws)) + ") as t(query_id, i, w))"
+_QT = "qt as (select query_id, i, w as form, regexp_replace(w, '" + text.ENDING + "', '') as term from (values " + ", ".join(f"({q}, {i}, '{w}')" for q, ws in QUERY_LIST for i, w in enumerate(ws)) + ") as t(query_id, i, w)), qp as materialized (select * from post where term in (select term from qt))"
 
 
 @query(f"with {_tokens_sql(_BODY)} select doc_id, count(*) as n, max(pos)::int as last_pos, count(distinct form) as forms, count(distinct term) as lemmas from al group by doc_id")
@@ -316,7 +316,7 @@ def collocations_g2(spark, sf):
 def _pair_sql(gap: int, weights: dict[int, float]) -> str:
     rows = ", ".join(f"({k}, {w}::double)" for k, w in weights.items())
     return f"""(select query_id, i, a.doc_id, a.zone, sum(s.w) as tf from (select query_id, i, term as t0, lead(term, {gap}) over (partition by query_id order by i) as t1 from qt) q
- join post a on a.term = t0 join (values {rows}) as s(k, w) on true join post b on b.term = t1 and b.doc_id = a.doc_id and b.zone = a.zone and b.pos = a.pos + s.k group by 1, 2, 3, 4)"""
+ join qp a on a.term = t0 join qp b on b.term = t1 and b.doc_id = a.doc_id and b.zone = a.zone join (values {rows}) as s(k, w) on s.k = b.pos - a.pos group by 1, 2, 3, 4)"""
 
 
 @query(f"with {_post_sql()}, {_QT} select query_id, i, doc_id, round(tf, 6) as tf from {_pair_sql(1, terms.NEAR)}")
@@ -342,7 +342,7 @@ def log_p(spark, sf):
 
 
 _SCORES = f"""lps as (select query_id, i, qt.term, form, coalesce(abs(ln(1 - exp(-1.5::double * p))), 0) as lp from qt left join lm using (term)), nt as (select query_id, count(*) as n from qt group by 1), zl as (select doc_id, zone, count(*) as dl from post group by 1, 2),
-f as (select query_id, i, post.doc_id, post.zone, count(*) as tf, sum((post.form = lps.form)::int) as ex, any_value(lp) as lp from post join lps on lps.term = post.term group by 1, 2, 3, 4),
+f as (select query_id, i, post.doc_id, post.zone, count(*) as tf, sum((post.form = lps.form)::int) as ex, any_value(lp) as lp from qp post join lps on lps.term = post.term group by 1, 2, 3, 4),
 per as (select query_id, doc_id, zone, any_value(n) as n, any_value(dl) as dl, count(*) as present, sum((ex > 0)::int) as nonzero, sum(lp) as lp_sum, sum(case when ex > 0 then lp else 0 end) as lp_exact, sum(lp * ex) as lp_ex,
  min(case when ex > 0 then tf end) as min_tf, list(ex order by ex desc) as exs, sum(lp * tf / (tf + 1 + dl / 350.0::double)) as ws from f join nt using (query_id) join zl using (doc_id, zone) group by 1, 2, 3),
 p1 as (select t.query_id, doc_id, zone, sum((a.lp + b.lp) * tf / (1 + tf)) as wp from {_pair_sql(1, terms.NEAR)} t join lps a on a.query_id = t.query_id and a.i = t.i join lps b on b.query_id = t.query_id and b.i = t.i + 1 group by 1, 2, 3),
