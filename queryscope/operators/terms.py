@@ -130,12 +130,12 @@ def score_components(posted: DataFrame, model: DataFrame, terms: DataFrame) -> D
         F.round(F.when(2 * F.col("nonzero") < F.col("n"), 0.0).otherwise(F.col("lp_exact") * half / (1 + half)), 6).alias("w_half"),
     )
     mixed = F.col("w_single") + 0.3 * F.col("w_pair") + 0.1 * F.col("w_all") + 0.2 * F.col("w_phrase") + 0.02 * F.col("w_half")
-    return out.select(*keys, "w_single", "w_pair", "w_all", "w_phrase", "w_half", F.round(F.when(F.col("n") == 1, F.col("w_single")).otherwise(mixed), 6).alias("score"))
+    return out.select(*keys, "w_single", "w_pair", "w_all", "w_phrase", "w_half", F.round(F.when(F.col("n") == 1, F.col("w_single")).otherwise(mixed), 8).alias("score"))
 
 
 def total_score(scores: DataFrame) -> DataFrame:
     weight = F.element_at(F.create_map(*[F.lit(x) for z, w in ZONE_WEIGHT.items() for x in (z, w)]), F.col("zone"))
-    return scores.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("score") * weight), 5).alias("total"))
+    return scores.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("score") * weight), 9).alias("total"))
 
 
 def bm25(posted: DataFrame, terms: DataFrame) -> DataFrame:

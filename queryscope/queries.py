@@ -351,7 +351,7 @@ h as (select *, least(dl, min_tf) as m, coalesce(exs[round_even(n / 2.0, 0)::int
 c as (select h.query_id, h.doc_id, h.zone, n, round(ws, 6) as w_single, round(coalesce(p1.wp, 0) + coalesce(p2.wp, 0), 6) as w_pair, round(lp_ex * pow(0.03::double, n - present), 6) as w_all,
  round(case when present < n then 0.0 else lp_sum * m / (1 + m) end, 6) as w_phrase, round(case when 2 * nonzero < n then 0.0 else lp_exact * hf / (1 + hf) end, 6) as w_half
  from h left join p1 on p1.query_id = h.query_id and p1.doc_id = h.doc_id and p1.zone = h.zone left join p2 on p2.query_id = h.query_id and p2.doc_id = h.doc_id and p2.zone = h.zone),
-s as (select *, round(case when n = 1 then w_single else w_single + 0.3::double * w_pair + 0.1::double * w_all + 0.2::double * w_phrase + 0.02::double * w_half end, 6) as score from c)"""
+s as (select *, round(case when n = 1 then w_single else w_single + 0.3::double * w_pair + 0.1::double * w_all + 0.2::double * w_phrase + 0.02::double * w_half end, 8) as score from c)"""
 
 
 def _components(spark, sf):
@@ -373,7 +373,7 @@ for _name in ("w_single", "w_pair", "w_all", "w_phrase", "w_half"):
 _PAGE_TERMS = _FREQ.replace("freq as", "freq as", 1)
 
 
-@query(f"with {_post_sql(_ZONES)}, {_QT}, {_FREQ}, {_LM}, {_SCORES} select query_id, doc_id, round(sum(score * case zone when 'body' then 1.0::double when 'title' then 2.0::double else 1.5::double end), 5) as total from s group by 1, 2")
+@query(f"with {_post_sql(_ZONES)}, {_QT}, {_FREQ}, {_LM}, {_SCORES} select query_id, doc_id, round(sum(score * case zone when 'body' then 1.0::double when 'title' then 2.0::double else 1.5::double end), 9) as total from s group by 1, 2")
 def total_score(spark, sf):
     posted = _page_posted(spark, sf)
     return terms.total_score(terms.score_components(posted, terms.language_model(posted.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))), _terms(spark)))
