@@ -6,11 +6,11 @@ where the template would begin name a candidate, which counts if its key phrases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import stored
-
+#: Codes of (template, beginning): the template number times this, plus the beginning, which lies within half of it.
+_SPAN = 1 << 40
 #: Fixed pattern: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,24 +52,25 @@ def _vocabulary() -> list[str]:
     return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - set(COMMON) | set(_ANCHORS))
 
 
-def _quoted(x: str) -> str:
-    return f"'{x}'"
-
-
-def templates(spark: SparkSession) -> DataFrame:
-    """(tpl int, label, words array, rare int: indexed places, phrases array of (at, text)) as a table of constants."""
+def _templates():
+    """Column: constant array of (label, words, phrases: array of (at, text)), by template number."""
     rows = []
-    for k, (label, text, phrases) in enumerate(TEMPLATES):
+    for label, text, phrases in TEMPLATES:
         words = text.split()
         at = [next(i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()) for p in phrases]
-        held = ", ".join(f"named_struct('at', {i}, 'text', {_quoted(p)})" for i, p in zip(at, phrases, strict=True))
-        rows.append(f"({k}, {_quoted(label)}, array({', '.join(map(_quoted, words))}), array({held}))")
-    return spark.sql(f"select * from values {', '.join(rows)} as t(tpl, label, words, phrases)")
+        held = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(p).alias("text"), F.lit(len(p.split())).alias("n")) for i, p in zip(at, phrases, strict=True)])
+        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), held.alias("phrases")))
+    return F.array(*rows)
 
 
-def postings(spark: SparkSession) -> DataFrame:
-    """(word, tpl, tpos): the positional index of the templates' words that are not common; its size is fixed."""
-    return templates(spark).select("tpl", F.posexplode("words").alias("tpos", "word")).where(~F.col("word").isin(*COMMON)).select("word", "tpl", "tpos")
+def _postings():
+    """Column: the positional index, a constant map from each indexed word to its places, as codes of a beginning at 0."""
+    index: dict[str, list[int]] = {}
+    for tpl, (_, text, _) in enumerate(TEMPLATES):
+        for at, word in enumerate(text.split()):
+            if word not in COMMON:
+                index.setdefault(word, []).append(tpl * _SPAN - at)
+    return F.create_map(*[x for word, places in sorted(index.items()) for x in (F.lit(word), F.array(*[F.lit(p).cast("long") for p in places]))])
 
 
 def words_column(text_col: str = "text"):
@@ -92,43 +93,63 @@ def _places(words, phrase: str):
     return F.array_remove(F.transform(words, here), -1)
 
 
+def _let(value, use):
+    """Column: ``use`` of ``value``, which is evaluated once however often ``use`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ranked_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The fixed vocabulary by falling IDF over all documents, ties by word; a row for each of its words is collected."""
+    present = docs.select(F.array_intersect(F.array(*map(F.lit, _vocabulary())), words_column(text_col)).alias("lic"))
+    df = {r["word"]: r["df"] for r in present.select(F.explode("lic").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}
+    return sorted(_vocabulary(), key=lambda w: (df.get(w, 0), w))
+
+
+def _accepted(words, top, least_share: float):
+    """Column: array of (label, share) of the templates that the file's rare words ``top`` lead to and its words bear out."""
+    pairs = F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("word"), i.cast("long").alias("pos"))))
+    codes = F.flatten(F.transform(F.array_compact(pairs), lambda x: F.transform(F.coalesce(F.element_at(_postings(), x["word"]), F.array().cast("array<long>")), lambda p: p + x["pos"])))
+    twice = _let(F.sort_array(codes), lambda c: F.array_distinct(F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1) == x, F.lit(False)))))
+
+    def tried(code):
+        tpl = F.floor((code + F.lit(_SPAN // 2)) / F.lit(_SPAN)).cast("int")
+        start = (code - tpl.cast("long") * F.lit(_SPAN)).cast("int")
+        return F.struct(start.alias("start"), F.get(_templates(), tpl).alias("t"))
+
+    def judged(x):
+        form, start = x["t"]["words"], x["start"]
+        aligned = F.size(F.filter(form, lambda w, i: F.coalesce(F.get(words, start + i) == w, F.lit(False))))
+        keys = F.forall(x["t"]["phrases"], lambda p: (start + p["at"] >= 0) & (F.array_join(F.slice(words, F.greatest(start + p["at"] + 1, F.lit(1)), p["n"]), " ") == p["text"]))
+        return F.struct(x["t"]["label"].alias("label"), F.when(keys, aligned / F.size(form)).alias("share"))
+
+    return F.filter(F.transform(F.transform(twice, tried), judged), lambda x: F.coalesce(x["share"] >= least_share, F.lit(False)))
+
+
 def scan(docs: DataFrame, rare: int = 8, least_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row for each document row.
 
-    A template is accepted if at least two of the file's ``rare`` licence words of highest IDF (over all documents) put
-    its beginning at one place, its key phrases stand there, and ``least_share`` of its words do; its share is its score.
+    A template is accepted if at least two places of the file's ``rare`` licence words of highest IDF (over all documents)
+    put its beginning at one place, its key phrases stand there, and ``least_share`` of its words do; its share is its score.
     A base phrase alone scores 0.5; a file without any label 0. Labels are distinct, sorted and comma-joined, empty if
-    none. Null texts have no words. Ties of IDF go to the smaller word. The templates are constants, so what is sent to
-    all tasks has a fixed size; texts are cut into words once, and only files with licence words are carried on.
+    none. Null texts have no words. Ties of IDF go to the smaller word. One pass counts documents by licence word (a row
+    for each of a fixed vocabulary is shuffled and collected); a second does the rest within each row, so no text, word or
+    posting is shuffled or written, and no document's size or frequency of copies matters to another's.
     """
-    spark = docs.sparkSession
-    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
+    ranked = ranked_words(docs, text_col)
     cut = docs.select(F.col(id_col).alias("doc_id"), words_column(text_col).alias("words"))
-    cut = cut.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", F.array_intersect("words", vocabulary).alias("lic"))
+    cut = cut.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, ranked)), "words").alias("lic"))
     none = F.array().cast("array<int>")
-    found = [F.when(F.array_contains("lic", next(w for w in p.split() if w in (*_ANCHORS, "reserved", "license"))), _places(F.col("words"), p)).otherwise(none) for p, _ in BASE]
-    kept = stored(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.when(F.size("lic") > 0, F.col("words")).alias("words"), "lic", *[f.alias(f"b{k}") for k, f in enumerate(found)]), "license-words")
-
-    n = kept.count()
-    df = kept.select(F.explode("lic").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.select("word", F.log((n + 1.0) / (F.col("df") + 0.5)).alias("idf"))
-    index = postings(spark)
-    own = kept.where(F.size("lic") > 0).select("row", F.explode("lic").alias("word")).join(index.select("word").distinct(), "word").join(F.broadcast(idf), "word")  # a row for each word of the fixed vocabulary
-    top = own.withColumn("r", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("r") <= rare)
-    picked = kept.select("row", "words").join(top.groupBy("row").agg(F.collect_set("word").alias("top")), "row")
-    at = picked.select("row", F.explode(F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("top", x["word"]))).alias("x")).select("row", "x.word", "x.pos")
-    starts = at.join(F.broadcast(index), "word").groupBy("row", "tpl", (F.col("pos") - F.col("tpos")).alias("start")).agg(F.count("*").alias("votes")).where("votes >= 2")
-    tried = starts.join(picked.select("row", "words"), "row").join(F.broadcast(templates(spark).withColumnRenamed("words", "form")), "tpl")
-    aligned = F.size(F.filter(F.transform("form", lambda w, i: F.coalesce(F.get("words", F.col("start") + i) == w, F.lit(False))), lambda x: x)) / F.size("form")
-    keys = F.forall("phrases", lambda p: F.coalesce(F.array_join(F.slice("words", F.greatest(F.col("start") + p["at"] + 1, F.lit(1)), F.size(F.split(p["text"], " "))), " ") == p["text"], F.lit(False)) & (F.col("start") + p["at"] >= 0))
-    accepted = tried.where(keys).select("row", "label", aligned.alias("share")).where(F.col("share") >= least_share)
-    by_row = accepted.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    found = [F.when(F.array_contains("lic", next(w for w in p.split() if w in (*_ANCHORS, "reserved", "license"))), _places(F.col("words"), p)).otherwise(none).alias(f"b{k}") for k, (p, _) in enumerate(BASE)]
+    indexed = F.filter("lic", lambda w: F.map_contains_key(_postings(), w))
+    top = F.slice(indexed, 1, rare)
+    accepted = F.when(F.size("lic") > 0, _let(top, lambda t: _accepted(F.col("words"), t, least_share)))
+    held = cut.select("doc_id", "n_words", *found, accepted.alias("more"))
 
     every = F.flatten(F.array(*[F.col(f"b{k}") for k in range(len(BASE))]))
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)])))
-    labels = F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>"))))
-    score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size(every) > 0, 0.5).otherwise(0.0))
-    return kept.drop("words", "lic").join(by_row, "row", "left").select(
+    labels = F.array_sort(F.array_union(base, F.coalesce(F.col("more.label"), F.array().cast("array<string>"))))
+    score = F.greatest(F.coalesce(F.array_max("more.share"), F.lit(0.0)), F.when(F.size(every) > 0, 0.5).otherwise(0.0))
+    return held.select(
         "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.cast("double").alias("score"),
     )
