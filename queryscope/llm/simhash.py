@@ -19,7 +19,8 @@ from queryscope.llm.components import components
 
 BITS = 64
 _BLOCK = 8
-_ONE = np.uint64(1)
+#: Most probes that one partition may make for a fingerprint.
+_MAX_FLIPS = 1 << 17
 
 
 def fingerprint_of(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
@@ -90,6 +91,18 @@ def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
+def _flips(group: list[int], tau: int) -> list[np.ndarray]:
+    """By threshold up to tau: the masks of at most so many bits of a group; thresholds of over ``_MAX_FLIPS`` are left out."""
+    out, total = [], 0
+    for t in range(tau + 1):
+        total += comb(len(group), t)
+        if total > _MAX_FLIPS:
+            break
+        new = [sum(1 << b for b in c) for c in combinations(group, t)]
+        out.append(np.concatenate([*out[-1:], np.array(new, np.uint64)]))
+    return out
+
+
 class Plan:
     """Partitions, the histograms that candidate counts are estimated from, and the probes of a fingerprint."""
 
@@ -97,30 +110,25 @@ class Plan:
         self.groups, self.tau, self.n = groups, tau, n
         self.masks = [sum(1 << b for b in g) for g in groups]
         self.blocks = [[g[k : k + _BLOCK] for k in range(0, len(g), _BLOCK)] for g in groups]
+        self.hist = [[hist[i, k] for k in range(len(bl))] for i, bl in enumerate(self.blocks)]
         pop = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
         #: by partition and block: share of all fingerprints at distance d from a block value
         self.near = [[np.stack([((pop == d) * hist[i, k][None, :]).sum(axis=1) for d in range(tau + 1)], axis=1) / max(n, 1) for k in range(len(bl))] for i, bl in enumerate(self.blocks)]
-        self.flips = [[np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(g, d)], np.uint64) for t in range(tau + 1)] if comb(len(g), tau) <= 200_000 else [np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(g, d)], np.uint64) for t in range(min(tau, 2) + 1)] for g in groups]
+        self.flips = [_flips(g, tau) for g in groups]
 
-    def thresholds(self, fps: np.ndarray) -> np.ndarray:
-        """n x m thresholds from -1 to tau that sum to tau - m + 1 and have the least estimated work (probes + candidates)."""
-        bits, n, m, tau = _bits(fps), len(fps), len(self.groups), self.tau
+    def _allot(self, dists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(thresholds n x m, work n): the least estimated work of thresholds from -1 to tau that sum to tau - m + 1.
+
+        ``dists`` holds, by partition, n rows of the expected share of all fingerprints at each distance; work is probes
+        plus candidates, infinite if no thresholds with enumerable flips reach the sum.
+        """
+        n, m, tau = len(dists[0]), len(self.groups), self.tau
         goal = tau - m + 1
         best = np.full((n, tau + m + 2), np.inf)  # over sums from -m to tau + 1
         best[:, m] = 0
         chosen = []
-        for i, blocks in enumerate(self.blocks):
-            dist = np.zeros((n, tau + 1))
-            dist[:, 0] = 1
-            for k, block in enumerate(blocks):
-                value = np.zeros(n, np.int64)
-                for w, b in enumerate(block):
-                    value |= bits[:, b].astype(np.int64) << w
-                step, new = self.near[i][k][value], np.zeros_like(dist)
-                for d in range(tau + 1):
-                    new[:, d:] += dist[:, : tau + 1 - d] * step[:, d : d + 1]
-                dist = new
-            costs = {-1: np.zeros(n)} | {t: len(f) + self.n * dist[:, : t + 1].sum(axis=1) for t, f in enumerate(self.flips[i])}
+        for flips, dist in zip(self.flips, dists, strict=True):
+            costs = {-1: np.zeros(n)} | {t: len(f) + self.n * dist[:, : t + 1].sum(axis=1) for t, f in enumerate(flips)}
             new, pick = np.full_like(best, np.inf), np.full(best.shape, -1, np.int8)
             for t, cost in costs.items():
                 shifted = np.full_like(best, np.inf)
@@ -134,10 +142,40 @@ class Plan:
             best = new
             chosen.append(pick)
         out, at, rows = np.zeros((n, m), np.int64), np.full(n, goal + m), np.arange(n)
+        work = best[rows, at]
         for i in range(m - 1, -1, -1):
             out[:, i] = chosen[i][rows, at]
             at = at - out[:, i]
-        return out
+        return out, work
+
+    def _spread(self, steps: list[np.ndarray]) -> np.ndarray:
+        """Shares by distance of a partition from those of its blocks, which count as independent."""
+        dist = np.zeros((len(steps[0]), self.tau + 1))
+        dist[:, 0] = 1
+        for step in steps:
+            new = np.zeros_like(dist)
+            for d in range(self.tau + 1):
+                new[:, d:] += dist[:, : self.tau + 1 - d] * step[:, d : d + 1]
+            dist = new
+        return dist
+
+    def work(self) -> float:
+        """Estimated probes and candidates of an average fingerprint; infinite if the plan cannot reach tau."""
+        shares = [[h / max(self.n, 1) for h in hs] for hs in self.hist]
+        return float(self._allot([self._spread([(s @ near)[None, :] for s, near in zip(ss, ns, strict=True)]) for ss, ns in zip(shares, self.near, strict=True)])[1][0])
+
+    def thresholds(self, fps: np.ndarray) -> np.ndarray:
+        """n x m thresholds from -1 to tau that sum to tau - m + 1 and have the least estimated work (probes + candidates)."""
+        bits, dists = _bits(fps), []
+        for i, blocks in enumerate(self.blocks):
+            steps = []
+            for k, block in enumerate(blocks):
+                value = np.zeros(len(fps), np.int64)
+                for w, b in enumerate(block):
+                    value |= bits[:, b].astype(np.int64) << w
+                steps.append(self.near[i][k][value])
+            dists.append(self._spread(steps))
+        return self._allot(dists)[0]
 
     def probes(self, fps: np.ndarray):
         """(partition, value, fingerprint, thresholds) arrays of all probes; thresholds + 1 take 4 bits a partition."""
@@ -155,29 +193,30 @@ class Plan:
 
 
 def make_plan(fps: DataFrame, tau: int, parts: int | None = None) -> Plan:
-    """A plan over all rows of ``fps`` (fp long, distinct). Partitions get about log2(n) bits, so buckets stay short."""
+    """A plan over all rows of ``fps`` (fp long, distinct): of 1 to tau + 1 partitions (at most 15), the number that has
+    the least estimated work, or ``parts``. One pass counts the histograms of all these numbers."""
     n = fps.count()
-    m = parts or int(min(tau + 1, 15, max(1, BITS // max(16, int(np.ceil(np.log2(n + 1)))))))
-    groups = group_bits(_correlations(fps), m)
-    blocks = [[g[k : k + _BLOCK] for k in range(0, len(g), _BLOCK)] for g in groups]
+    corr = _correlations(fps)
+    groups = {m: group_bits(corr, m) for m in ([parts] if parts else range(1, min(tau + 1, 15) + 1))}
+    blocks = [(m, i, k, g[_BLOCK * k : _BLOCK * (k + 1)]) for m, gs in groups.items() for i, g in enumerate(gs) for k in range(-(-len(g) // _BLOCK))]
 
     def run(batches):
-        hist = {(i, k): np.zeros(256, np.int64) for i, bl in enumerate(blocks) for k in range(len(bl))}
+        hist = np.zeros((len(blocks), 256), np.int64)
         for b in batches:
             bits = _bits(b.column(0).to_numpy().view(np.uint64))
-            for (i, k), h in hist.items():
+            for h, (*_, block) in zip(hist, blocks, strict=True):
                 value = np.zeros(len(bits), np.int64)
-                for w, bit in enumerate(blocks[i][k]):
+                for w, bit in enumerate(block):
                     value |= bits[:, bit].astype(np.int64) << w
                 h += np.bincount(value, minlength=256)
-        for (i, k), h in hist.items():
-            v = np.nonzero(h)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.full(len(v), k, np.int32)), pa.array(v.astype(np.int32)), pa.array(h[v])], names=["i", "k", "v", "n"])
-
-    hist = {(i, k): np.zeros(256) for i, bl in enumerate(blocks) for k in range(len(bl))}
-    for r in fps.select("fp").mapInArrow(run, "i int, k int, v int, n long").groupBy("i", "k", "v").agg(F.sum("n").alias("n")).collect():
-        hist[r["i"], r["k"]][r["v"]] = r["n"]
-    return Plan(groups, hist, n, tau)
+        at, v = np.nonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(hist[at, v])], names=["at", "v", "n"])
+
+    hist = np.zeros((len(blocks), 256))
+    for r in fps.select("fp").mapInArrow(run, "at int, v int, n long").groupBy("at", "v").agg(F.sum("n").alias("n")).collect():
+        hist[r["at"], r["v"]] = r["n"]
+    plans = [Plan(gs, {(i, k): h for h, (of, i, k, _) in zip(hist, blocks, strict=True) if of == m}, n, tau) for m, gs in groups.items()]
+    return min(plans, key=Plan.work)
 
 
 def _signed(x: int) -> int:
