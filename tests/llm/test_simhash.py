@@ -9,7 +9,7 @@ from queryscope.llm.components import components
 from . import brute
 
 
-@pytest.mark.parametrize(("tau", "parts", "limit"), [(0, None, 4096), (1, 2, 4096), (2, 3, 3), (3, 4, 4096), (6, None, 4096), (5, 4, 5)])
+@pytest.mark.parametrize(("tau", "parts", "limit"), [(0, None, 4096), (1, 2, 4096), (2, 3, 3), (3, 4, 4096), (6, None, 4096), (6, 2, 4096), (5, 4, 5)])
 def test_links(spark, tau, parts, limit):
     rng = np.random.default_rng(tau)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
