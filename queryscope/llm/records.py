@@ -15,7 +15,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,10 @@ _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
 #: Fixed pattern: the words that the tokenizer of this kind makes of a piece.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD = regex.compile(_PATTERN).findall
-_TOKENIZERS: dict[str, tuple] = {}
+#: How byte-level models spell the letters of _PLAIN outside ASCII: bytes that Latin-1 does not print move up from 256.
+_MOVED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_SPELLED = {c: "".join(chr(256 + _MOVED.index(b) if b in _MOVED else b) for b in chr(c).encode()) for c in {ord(y) for x in range(0xA1, 0x250) for y in chr(x) + chr(x).lower()}}
+_TOKENIZERS: dict[str, Encoder] = {}
 
 
 def masked(data: bytes) -> int:
@@ -75,30 +77,26 @@ def payload_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=10).astype(np.uint32)
 
 
-class Encoder:
-    """Token ids of whole texts by the tokenizers library, white-space-separated pieces being encoded once.
+class Encoder(dict):
+    """Token ids of whole texts by the tokenizers library; as a dict, the ids (bytes) of white-space-separated pieces.
 
-    Valid for tokenizers that read any run of white space as one separator and never join pieces across it (checked by
-    ``piecewise`` on the file's own settings); others encode each text as it is.
+    A piece is encoded when first looked up. Valid for tokenizers that read any run of white space as one separator and
+    never join pieces across it (checked by ``piecewise`` on the file's own settings); others encode each text as it is.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.ids = [i.to_bytes(self.width, "little") for i in range(size)]
         settings = json.loads(self.tok.to_str())
         self.pieces = self.piecewise(settings)
-        self.cache: dict[str, bytes] = {}
+        self.by_word = self.pieces and self.wordwise(settings)
         self.words: dict[str, bytes] = {}
-        #: which ids end a word, if the vocabulary marks that and words are cut as _WORD does
-        suffix = settings["model"].get("end_of_word_suffix")
-        self.ends = None
-        if suffix and self.pieces and self.pattern == _PATTERN:
-            self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
-            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
 
     def piecewise(self, j: dict) -> bool:
         pre = j["pre_tokenizer"] or {}
@@ -108,43 +106,48 @@ class Encoder:
         plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in j["added_tokens"])
         return bool(drops and plain and "Prepend" not in json.dumps(j["normalizer"]) and j["post_processor"] is None)
 
+    def wordwise(self, j: dict) -> bool:
+        """Whether plain pieces can go to the library's model word by word: lower-cased, cut as _WORD does, as bytes."""
+        steps = [n["type"] for n in (j["normalizer"] or {}).get("normalizers", [])]
+        parts = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+        bytewise = [p["type"] for p in parts] == ["Split", "ByteLevel"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+        special = all(a["content"].startswith("<|") for a in j["added_tokens"])
+        return steps == ["NFC", "Replace", "Lowercase"] and self.pattern == _PATTERN and bytewise and special
+
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``width`` bytes each."""
         if not self.pieces:
-            return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        new: set[str] = set()
-        for s in split:
-            new.update(filterfalse(self.cache.__contains__, s))
-        self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Add the ids of new pieces: plain ones are put together from words that are encoded once, others encoded singly."""
-        plain = [p for p in pieces if self.ends is not None and _PLAIN(p) and "<|" not in p]
-        odd = list(pieces.difference(plain))
-        self.cache.update(zip(odd, (self._bytes(e.ids) for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+            return [self._encoded(t) for t in texts]
+        if len(self) > _CACHE:
+            self.clear()
         if len(self.words) > _WORDS:
             self.words.clear()
-        cut = [_WORD(p.lower()) for p in plain]
-        new = list({w for c in cut for w in c if w not in self.words})
-        for k in range(0, len(new), 500):
-            block = new[k : k + 500]
-            flat = self._bytes(self.tok.encode(" ".join(block), add_special_tokens=False).ids)
-            stops = np.flatnonzero(self.ends[np.frombuffer(flat, self.kind)]) + 1
-            if len(stops) == len(block):
-                cuts = [0, *(stops * self.width).tolist()]
-                self.words.update(zip(block, (flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+
+    def _encoded(self, text: str) -> bytes:
+        return b"".join([self.ids[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.by_word and (piece.isascii() and piece.isprintable() or _PLAIN(piece)) and "<|" not in piece:
+            low = piece.lower()
+            if low.isalpha():
+                found = self._word(low)
+            elif low[:-1].isalpha():
+                found = self._word(low[:-1]) + self._word(low[-1])
             else:
-                self.words.update(zip(block, (self._bytes(e.ids) for e in self.tok.encode_batch_fast(block, add_special_tokens=False)), strict=True))
-        get = self.words.__getitem__
-        self.cache.update(zip(plain, (b"".join(map(get, c)) for c in cut), strict=True))
+                found = b"".join(map(self._word, _WORD(low)))
+        else:
+            found = self._encoded(piece)
+        self[piece] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            spelled = word if word.isascii() else word.translate(_SPELLED)
+            found = self.words[word] = b"".join([self.ids[t.id] for t in self.tok.model.tokenize(spelled)])
+        return found
 
 
 def encoder(path: str) -> Encoder:
@@ -169,7 +172,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
 
     def run(batches):
         shard, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
+        end = enc.ids[end_id]
         data, entries, offset, tokens = [], [], 0, 0
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

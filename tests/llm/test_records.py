@@ -16,11 +16,11 @@ ENC = records.Encoder(tokenizer_path())
 
 
 def same(text):
-    assert np.frombuffer(ENC.many([text])[0], ENC.kind).tolist() == TOK.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(ENC.many([text])[0], f"<u{ENC.width}").tolist() == TOK.encode(text, add_special_tokens=False).ids, text
 
 
 def test_fast_path_is_on():
-    assert ENC.pieces and ENC.ends is not None
+    assert ENC.pieces and ENC.by_word
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", "It's we'll DON'T 'S!'s '' x²½ 3.14 1,000", "É è ÇA ß İstanbul ſ ΣΑΣ Σ", "é ́x a ́b", "<|endoftext|> x<|startoftext|>y < | >", "a\r\nb\x0bc\x0cd\x1ce\x85f\xa0g h　i", "日本語 한국어 한 😀👍🏽 ﬁ", "word,word.word--*** $$$ ***", "\x00\x01\x7f"])
@@ -28,6 +28,11 @@ def test_known_texts(text):
     same(text)
 
 
+def test_every_plain_character():
+    for c in map(chr, range(0x21, 0x250)):
+        same(f"{c} a{c} {c}b x{c}y. {c}{c} {c.upper()}'s {c.lower()}")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="aAbÉß'stlm.,! \n\t\r<|>0²́Σİ\x1c\xa0", max_size=40))
 def test_any_text(text):
