@@ -158,7 +158,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, max_share: float | None = None) -> DataFrame:
-    """The rows of ``docs`` whose document is not contaminated: windows of ``min_items`` items, or ``max_share`` hit words."""
+    """The rows of ``docs`` whose document is not contaminated: windows of ``min_items`` items, or ``max_share`` hit words.
+
+    Documents are told apart by id: rows with a null id stay, rows that repeat an id all stay or all go.
+    """
     c = contamination(docs, items, min_items=min_items)
     bad = F.col("contaminated") if max_share is None else F.col("contaminated") | (F.col("n_hit") > max_share * F.col("n_words"))
     gone = c.where(bad).select(F.col("doc_id").alias("_gone")).distinct()

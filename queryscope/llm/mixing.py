@@ -61,9 +61,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs``."""
+    """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs`` whatever their names."""
     goals = targets(docs.select(F.col("source").cast("string").alias("source"), sizes().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goals = goals.select(F.col("source").alias("_source"), F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("_rate"))
     both = docs.join(goals, docs["source"].cast("string").eqNullSafe(goals["_source"]))
-    copies = (F.floor("_rate") + (draw(docs["doc_id"], seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    return both.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    rate = goals["_rate"]
+    copies = (F.floor(rate) + (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    #: a whole row as one value, so that no helper column can clash with those of docs
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    return both.where(copies > 0).select(F.explode(F.array_repeat(row, copies)).alias("row")).select("row.*")
