@@ -1,5 +1,7 @@
 """SimHash links against brute force for several distances, bucket limits and partition numbers; edge rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -58,3 +60,37 @@ def test_near_copies_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.dedup(docs).collect()}
     assert set(range(30)) <= kept and len(kept - set(range(30))) <= 1
+
+
+def exact_components(texts, least=0.8):
+    """Label by text of the components of equal fingerprints and 5-word Jaccard similarity, without any Hamming limit; the pairs."""
+    words = [brute.SPACE.findall(brute.lowered(t)) for t in texts]
+    sets = [{b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set()) for w in words]
+    holders, common = {}, Counter()
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    for held in holders.values():
+        common.update((i, j) for n, j in enumerate(held) for i in held[:n])
+    pairs = [(i, j) for (i, j), c in common.items() if c >= least * (len(sets[i]) + len(sets[j]) - c)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first, fps = {}, [simhash.fingerprint_of(w) for w in words]
+    for i, j in [*pairs, *((first.setdefault(f, k), k) for k, f in enumerate(fps))]:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    return [find(k) for k in range(len(texts))], [(i, j, (fps[i] ^ fps[j]).bit_count()) for i, j in pairs]
+
+
+def test_dedup_misses_no_pair(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    label, pairs = exact_components([t for _, t in rows])
+    assert sum(bits > 6 for *_, bits in pairs) > 100
+    kept = [r["doc_id"] for r in simhash.dedup(docs).collect()]
+    assert sorted(kept) == [d for k, (d, _) in enumerate(rows) if label[k] == k]
