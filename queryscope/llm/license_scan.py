@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
-Each file's licence words of highest IDF are looked up in the postings of the licence templates; postings that agree on
-where the template would begin name a candidate, which counts if its key phrases stand where that beginning puts them.
+The word of highest IDF in each template's key phrases is indexed with its place; wherever a file holds that word, it
+puts the template's beginning at one place, which counts if the key phrases stand where that beginning puts them.
 """
 
 from __future__ import annotations
@@ -63,13 +63,23 @@ def _templates():
     return F.array(*rows)
 
 
-def _postings():
-    """Column: the positional index, a constant map from each indexed word to its places, as codes of a beginning at 0."""
+def _anchors(ranked: list[str]) -> dict[str, list[int]]:
+    """The positional index: of each template the first of ``ranked`` in its key phrases, with the codes of a beginning at 0."""
     index: dict[str, list[int]] = {}
-    for tpl, (_, text, _) in enumerate(TEMPLATES):
-        for at, word in enumerate(text.split()):
-            if word not in COMMON:
-                index.setdefault(word, []).append(tpl * _SPAN - at)
+    for tpl, (_, text, phrases) in enumerate(TEMPLATES):
+        words, places = text.split(), {}
+        for p in (p.split() for p in phrases):
+            at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+            for k, w in enumerate(p):
+                if w not in COMMON:
+                    places.setdefault(w, at + k)
+        word = min(places, key=ranked.index)
+        index.setdefault(word, []).append(tpl * _SPAN - places[word])
+    return index
+
+
+def _postings(index: dict[str, list[int]]):
+    """Column: the positional index as a constant map from each indexed word to its codes."""
     return F.create_map(*[x for word, places in sorted(index.items()) for x in (F.lit(word), F.array(*[F.lit(p).cast("long") for p in places]))])
 
 
@@ -105,11 +115,10 @@ def ranked_words(docs: DataFrame, text_col: str = "text") -> list[str]:
     return sorted(_vocabulary(), key=lambda w: (df.get(w, 0), w))
 
 
-def _accepted(words, top, least_share: float):
-    """Column: array of (label, share) of the templates that the file's rare words ``top`` lead to and its words bear out."""
+def _accepted(words, top, postings, least_share: float):
+    """Column: array of (label, share) of the templates that the file's indexed words ``top`` lead to and its words bear out."""
     pairs = F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("word"), i.cast("long").alias("pos"))))
-    codes = F.flatten(F.transform(F.array_compact(pairs), lambda x: F.transform(F.coalesce(F.element_at(_postings(), x["word"]), F.array().cast("array<long>")), lambda p: p + x["pos"])))
-    twice = _let(F.sort_array(codes), lambda c: F.array_distinct(F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1) == x, F.lit(False)))))
+    codes = F.flatten(F.transform(F.array_compact(pairs), lambda x: F.transform(F.element_at(postings, x["word"]), lambda p: p + x["pos"])))
 
     def tried(code):
         tpl = F.floor((code + F.lit(_SPAN // 2)) / F.lit(_SPAN)).cast("int")
@@ -122,14 +131,14 @@ def _accepted(words, top, least_share: float):
         keys = F.forall(x["t"]["phrases"], lambda p: (start + p["at"] >= 0) & (F.array_join(F.slice(words, F.greatest(start + p["at"] + 1, F.lit(1)), p["n"]), " ") == p["text"]))
         return F.struct(x["t"]["label"].alias("label"), F.when(keys, aligned / F.size(form)).alias("share"))
 
-    return F.filter(F.transform(F.transform(twice, tried), judged), lambda x: F.coalesce(x["share"] >= least_share, F.lit(False)))
+    return F.filter(F.transform(F.transform(codes, tried), judged), lambda x: F.coalesce(x["share"] >= least_share, F.lit(False)))
 
 
-def scan(docs: DataFrame, rare: int = 8, least_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, least_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row for each document row.
 
-    A template is accepted if at least two places of the file's ``rare`` licence words of highest IDF (over all documents)
-    put its beginning at one place, its key phrases stand there, and ``least_share`` of its words do; its share is its score.
+    A template is accepted if its key phrases stand where one beginning puts them and ``least_share`` of its words do; its
+    greatest share is its score. Every beginning is tried at which the key phrases can stand, since they hold the indexed word.
     A base phrase alone scores 0.5; a file without any label 0. Labels are distinct, sorted and comma-joined, empty if
     none. Null texts have no words. Ties of IDF go to the smaller word. One pass counts documents by licence word (a row
     for each of a fixed vocabulary is shuffled and collected); a second does the rest within each row, so no text, word or
@@ -140,9 +149,9 @@ def scan(docs: DataFrame, rare: int = 8, least_share: float = 0.6, id_col: str =
     cut = cut.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, ranked)), "words").alias("lic"))
     none = F.array().cast("array<int>")
     found = [F.when(F.array_contains("lic", next(w for w in p.split() if w in (*_ANCHORS, "reserved", "license"))), _places(F.col("words"), p)).otherwise(none).alias(f"b{k}") for k, (p, _) in enumerate(BASE)]
-    indexed = F.filter("lic", lambda w: F.map_contains_key(_postings(), w))
-    top = F.slice(indexed, 1, rare)
-    accepted = F.when(F.size("lic") > 0, _let(top, lambda t: _accepted(F.col("words"), t, least_share)))
+    index = _anchors(ranked)
+    top = F.array_intersect(F.array(*map(F.lit, sorted(index))), F.col("lic"))
+    accepted = _let(top, lambda t: F.when(F.size(t) > 0, _accepted(F.col("words"), t, _postings(index), least_share)))
     held = cut.select("doc_id", "n_words", *found, accepted.alias("more"))
 
     every = F.flatten(F.array(*[F.col(f"b{k}") for k in range(len(BASE))]))

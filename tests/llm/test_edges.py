@@ -94,3 +94,29 @@ def test_license_labels(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "a license to version it")]
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache-2.0", 2: "mit", 3: "gpl,gpl-3.0", 4: ""}
+
+
+def test_licenses_of_files_with_several_notices(spark):
+    """All labels of all beginnings, tried one by one, whatever else a file holds."""
+    rng = np.random.default_rng(5)
+    forms = [text for _, text, _ in license_scan.TEMPLATES]
+    texts = [forms[0] + " foo bar " + forms[4], forms[3] + " foo bar " + forms[6], " foo ".join(forms), " ".join(reversed(forms)), *forms]
+    for _ in range(60):
+        words = " filler words ".join(forms[k] for k in rng.integers(0, len(forms), rng.integers(2, 9))).split()
+        texts.append(" ".join(w if rng.random() > 0.04 else "changed" for w in words))
+
+    def labels(text):
+        w, out = text.split(), set()
+        for label, form, phrases in license_scan.TEMPLATES:
+            t = form.split()
+            places = [next(i for i in range(len(t)) if t[i : i + len(p)] == p) for p in (p.split() for p in phrases)]
+            for s in range(-len(t), len(w)):
+                keys = all(s + at >= 0 and w[s + at : s + at + len(p.split())] == p.split() for at, p in zip(places, phrases, strict=True))
+                if keys and sum(0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(t)) >= 0.6 * len(t):
+                    out.add(label)
+        base = brute.base_license(text)[-1]
+        return ",".join(sorted(out | set(base.split(",")) - {""}))
+
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: labels(t) for k, t in enumerate(texts)}
+    assert got[0] == "apache-2.0,mit" and got[1] == "bsd,mit"
