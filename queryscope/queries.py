@@ -462,7 +462,7 @@ def forel(spark, sf):
 
 @query()
 def n_times_forel(spark, sf):
-    return cluster.forel(_objects(spark, sf), _pairs(spark, sf), LEVEL, tries=20)
+    return cluster.forel(_objects(spark, sf), _pairs(spark, sf), LEVEL, tries=200)
 
 
 @query()
