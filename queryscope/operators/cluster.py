@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from queryscope.sources.shared import shared_root
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """The cluster names a shared folder in spark.checkpoint.dir; a local session without one gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="queryscope-"))
+    shared_root(spark)
 
 
 def pairs(serp: DataFrame, depth: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from queryscope.operators import cluster, page_features, readability, terms
 from queryscope.plans import pipelines
 from queryscope.sources import fixtures, store
 from queryscope.sources.fixtures import load
+from queryscope.sources.shared import spread, stored
 
 #: Ranking queries of the index operators: a parameter list of (query_id, term as written).
 QUERY_LIST = ((1, ("rewh", "orantion", "inoran")), (2, ("thing", "thin", "ther", "thon")), (3, ("auf",)), (4, ("thble", "nowhere")))
@@ -245,16 +246,20 @@ _FREQ = "freq as (select term, count(*) as tf, count(distinct doc_id) as df from
 _LM = "lm as (select term, tf as cnt, (tf + 0.5::double) / (sum(tf) over () + 0.5::double * count(*) over ()) as p from freq)"
 
 
-def _posted(spark, sf):
-    return terms.postings(fixtures.body_zones(load(spark, sf, "documents")))
+def _body(spark, sf):
+    return fixtures.body_zones(spread(load(spark, sf, "documents")))
 
 
-def _page_posted(spark, sf):
-    return terms.postings(fixtures.plain_zones(load(spark, sf, "pages")))
+def _page_zones(spark, sf):
+    return fixtures.plain_zones(spread(load(spark, sf, "pages")))
+
+
+def _index(spark, sf):
+    return terms.Index.build(_body(spark, sf))
 
 
 def _freq(spark, sf):
-    return terms.words_freq(fixtures.body_zones(load(spark, sf, "documents")))
+    return stored(terms.words_freq(_body(spark, sf)), "frequencies")
 
 
 def _model(freq: DataFrame) -> DataFrame:
@@ -271,23 +276,23 @@ _QT = "qt as (select query_id, i, w as form, regexp_replace(w, '" + text.ENDING
 
 @query(f"with {_tokens_sql(_BODY)} select doc_id, count(*) as n, max(pos)::int as last_pos, count(distinct form) as forms, count(distinct term) as lemmas from al group by doc_id")
 def tokens(spark, sf):
-    t = terms.all_tokens(fixtures.body_zones(load(spark, sf, "documents")))
+    t = terms.all_tokens(_body(spark, sf))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last_pos"), F.countDistinct("form").alias("forms"), F.countDistinct("term").alias("lemmas"))
 
 
 @query(f"with {_post_sql(_ZONES)} select term, doc_id, zone, pos, form from post")
 def postings(spark, sf):
-    return _page_posted(spark, sf).select("term", "doc_id", "zone", "pos", "form")
+    return terms.postings(_page_zones(spark, sf)).select("term", "doc_id", "zone", "pos", "form")
 
 
 @query(f"with {_post_sql()}, {_FREQ} select * from freq")
 def words_freq(spark, sf):
-    return _freq(spark, sf)
+    return terms.words_freq(_body(spark, sf))
 
 
 @query(f"with {_post_sql(_ZONES)} select doc_id, zone, count(*) as dl from post group by doc_id, zone")
 def doc_lengths(spark, sf):
-    return terms.doc_lengths(_page_posted(spark, sf))
+    return terms.doc_lengths(terms.postings(_page_zones(spark, sf)))
 
 
 @query(f"with {_post_sql()}, {_FREQ}, {_LM} select term, cnt::bigint as cnt, round(p, 12) as p from lm")
@@ -310,7 +315,7 @@ m as (select *, sum(n) over (partition by a) as na, sum(n) over (partition by b)
 select a, b, n::bigint as n, round(2 * ({_g2('n', 'na * nb / nn')} + {_g2('na - n', 'na * (nn - nb) / nn')} + {_g2('nb - n', '(nn - na) * nb / nn')} + {_g2('nn - na - nb + n', '(nn - na) * (nn - nb) / nn')}), 4) as g2
 from m where n >= 2 and length(a) >= 3 and length(b) >= 3 and a not in ({STOP}) and b not in ({STOP}) order by g2 desc, a, b limit 30""")
 def collocations_g2(spark, sf):
-    return terms.collocations(fixtures.body_zones(load(spark, sf, "documents")))
+    return terms.collocations(_body(spark, sf))
 
 
 def _pair_sql(gap: int, weights: dict[int, float]) -> str:
@@ -321,19 +326,19 @@ def _pair_sql(gap: int, weights: dict[int, float]) -> str:
 
 @query(f"with {_post_sql()}, {_QT} select query_id, i, doc_id, round(tf, 6) as tf from {_pair_sql(1, terms.NEAR)}")
 def pair_tf(spark, sf):
-    return terms.pair_tf(_posted(spark, sf), terms.query_pairs(_terms(spark), 1), terms.NEAR).select("query_id", "i", "doc_id", F.round("tf", 6).alias("tf"))
+    return terms.pair_tf(_index(spark, sf).hits(_terms(spark)), terms.query_pairs(_terms(spark), 1), terms.NEAR).select("query_id", "i", "doc_id", F.round("tf", 6).alias("tf"))
 
 
 @query(f"with {_post_sql()}, {_QT} select query_id, i, doc_id, round(tf, 6) as tf from {_pair_sql(2, terms.SKIP)}")
 def pair_spec_tf(spark, sf):
-    return terms.pair_tf(_posted(spark, sf), terms.query_pairs(_terms(spark), 2), terms.SKIP).select("query_id", "i", "doc_id", F.round("tf", 6).alias("tf"))
+    return terms.pair_tf(_index(spark, sf).hits(_terms(spark)), terms.query_pairs(_terms(spark), 2), terms.SKIP).select("query_id", "i", "doc_id", F.round("tf", 6).alias("tf"))
 
 
 @query(f"""with {_post_sql()}, {_QT}, dl as (select doc_id, count(*) as dl from post group by 1), m as (select avg(dl) as avdl, sum(dl)::double as total from dl), cf as (select term, count(*)::double as cf from post group by 1),
 tf as (select query_id, post.term, doc_id, count(*) as tf from post join (select distinct query_id, term from qt) q on q.term = post.term group by 1, 2, 3)
 select query_id, doc_id, round(sum(ln(total / cf) * 3 * tf / (2.0::double * (0.25 + 0.75::double * dl / avdl) + tf)), 5) as bm25 from tf join cf using (term) join dl using (doc_id), m group by 1, 2""")
 def bm25(spark, sf):
-    return terms.bm25(_posted(spark, sf), _terms(spark))
+    return terms.bm25(_index(spark, sf), _terms(spark))
 
 
 @query(f"with {_post_sql()}, {_FREQ}, {_LM} select term, round(abs(ln(1 - exp(-1.5::double * p))), 6) as on_topic, round(abs(ln(1 / p)), 6) as icf from lm")
@@ -354,14 +359,11 @@ c as (select h.query_id, h.doc_id, h.zone, n, round(ws, 6) as w_single, round(co
 s as (select *, round(case when n = 1 then w_single else w_single + 0.3::double * w_pair + 0.1::double * w_all + 0.2::double * w_phrase + 0.02::double * w_half end, 8) as score from c)"""
 
 
-def _components(spark, sf):
-    return terms.score_components(_posted(spark, sf), _model(_freq(spark, sf)), _terms(spark))
-
-
 def _component(name):
     @query(f"with {_post_sql()}, {_QT}, {_FREQ}, {_LM}, {_SCORES} select query_id, doc_id, {name} from s")
     def f(spark, sf):
-        return _components(spark, sf).select("query_id", "doc_id", name)
+        index = _index(spark, sf)
+        return terms.score_components(index, terms.language_model(index.vocabulary()), _terms(spark), (name,)).select("query_id", "doc_id", name)
 
     Q[name] = Q.pop("f")
     SQL[name] = SQL.pop("f")
@@ -370,32 +372,29 @@ def _component(name):
 for _name in ("w_single", "w_pair", "w_all", "w_phrase", "w_half"):
     _component(_name)
 
-_PAGE_TERMS = _FREQ.replace("freq as", "freq as", 1)
-
-
 @query(f"with {_post_sql(_ZONES)}, {_QT}, {_FREQ}, {_LM}, {_SCORES} select query_id, doc_id, round(sum(score * case zone when 'body' then 1.0::double when 'title' then 2.0::double else 1.5::double end), 9) as total from s group by 1, 2")
 def total_score(spark, sf):
-    posted = _page_posted(spark, sf)
-    return terms.total_score(terms.score_components(posted, terms.language_model(posted.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))), _terms(spark)))
+    index = terms.Index.build(_page_zones(spark, sf))
+    return terms.total_score(terms.scores(index, terms.language_model(index.vocabulary()), _terms(spark)))
 
 
 @query(f"with {_post_sql(_ZONES)} select term, count(distinct doc_id) as n from post group by 1 having count(distinct doc_id) > 7")
 def common_words(spark, sf):
-    return terms.common_words(fixtures.plain_zones(load(spark, sf, "pages")))
+    return terms.common_words(_page_zones(spark, sf))
 
 
-@query(f"""with {_post_sql(_ZONES)}, o as (select distinct doc_id, term from post), g as (select page_id as doc_id, {_HOST} as grp from pages), u as (select grp, term from o join g using (doc_id) group by 1, 2 having count(*) > 2)
-select g.doc_id, u.term from g join u using (grp) where not exists (select 1 from o where o.doc_id = g.doc_id and o.term = u.term)""")
+@query(f"""with {_post_sql(_ZONES)}, o as materialized (select distinct doc_id, term from post), g as (select page_id as doc_id, {_HOST} as grp from pages), u as materialized (select grp, term from o join g using (doc_id) group by 1, 2 having count(*) > 2)
+select w.doc_id, w.term from (select g.doc_id, u.term from g join u using (grp)) w anti join o on o.doc_id = w.doc_id and o.term = w.term""")
 def missing_words(spark, sf):
     pages = load(spark, sf, "pages")
-    return terms.missing_words(fixtures.plain_zones(pages), pages.select(F.col("page_id").alias("doc_id"), fixtures.host().alias("grp")), more_than=2)
+    return terms.missing_words(_page_zones(spark, sf), pages.select(F.col("page_id").alias("doc_id"), fixtures.host().alias("grp")), more_than=2)
 
 
-@query(f"""with {_tokens_sql(_BODY)}, post as (select * from al where regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') and form not in ({STOP}) and term not in ({STOP})), {_FREQ}, m as (select max(tf)::double as most from freq),
+@query(f"""with {_tokens_sql(_BODY).replace("al as (", "al as materialized (")}, post as (select * from al where regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') and form not in ({STOP}) and term not in ({STOP})), {_FREQ.replace("freq as (", "freq as materialized (")}, m as (select max(tf)::double as most from freq),
 c as (select al.doc_id, pos, form, not regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') or form in ({STOP}) as plain, tf, round(100 + 155 * tf / most, 0)::int as g from al left join freq using (term), m)
 select doc_id, pos, form, case when plain then '#010101' when tf is null then '#ff0000' else format('#{{:02x}}{{:02x}}00', 255 - g, g) end as color from c""")
 def colorize(spark, sf):
-    zones = fixtures.body_zones(load(spark, sf, "documents"))
+    zones = _body(spark, sf)
     return terms.colorize(zones, terms.words_freq(zones))
 
 
