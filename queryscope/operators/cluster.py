@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryscope.sources.shared import shared_root
+from queryscope.sources.shared import ranked, shared_root, stored
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -15,10 +15,24 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     shared_root(spark)
 
 
-def pairs(serp: DataFrame, depth: int = 10) -> DataFrame:
-    """(i, j, common, dist) of queries i < j with common items: an item-keyed self join, never all pairs."""
-    a, b = serp.select(F.col("query_id").alias("i"), "item"), serp.select(F.col("query_id").alias("j"), "item")
-    both = a.join(b, "item").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"))
+def pairs(serp: DataFrame, depth: int = 10, least: int = 1) -> DataFrame:
+    """(i, j, common, dist) of queries i < j with at least ``least`` common items.
+
+    Two rankings with so many common items share one of their ``depth - least + 1`` rarest items, so only these are
+    joined: the more is asked in common, the less do items that very many rankings hold weigh. Never all pairs.
+    """
+    if least <= 1:
+        a, b = serp.select(F.col("query_id").alias("i"), "item"), serp.select(F.col("query_id").alias("j"), "item")
+        both = a.join(b, "item").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"))
+    else:
+        often = serp.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        rows = stored(serp.join(often, "item").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("s")).select("query_id", F.col("s.item").alias("items")), "rankings")
+        rare = rows.select("query_id", "items", F.explode(F.slice("items", F.lit(1), F.greatest(F.size("items") - (least - 1), F.lit(0)))).alias("item"))
+        a, b = (rare.select(F.col("query_id").alias(q), F.col("items").alias(f"{q}s"), "item") for q in "ij")
+        shared = F.array_intersect("is", "js")
+        #: a pair that several rare items find comes from the first of them alone
+        both = a.join(b, "item").where((F.col("i") < F.col("j")) & (F.size(shared) >= least) & (F.get(shared, F.lit(0)) == F.col("item")))
+        both = both.select("i", "j", F.size(shared).cast("long").alias("common"))
     return both.select("i", "j", "common", F.round(1 - F.col("common") / depth, 6).alias("dist"))
 
 
@@ -46,15 +60,15 @@ def components(objects: DataFrame, edges: DataFrame) -> DataFrame:
 def shortest_open_path(objects: DataFrame, pair_table: DataFrame, level: float = 0.9, depth: int = 10) -> DataFrame:
     """Clusters that growing a shortest open path up to ``level`` finds: the components of pairs within that distance."""
     if level >= 1:
-        return objects.select("obj_id", F.min("obj_id").over(Window.partitionBy()).alias("cluster"))
+        return objects.join(F.broadcast(objects.agg(F.min("obj_id").alias("cluster"))))  # one row
     return components(objects, pair_table.where(F.col("common") >= least_common(level, depth)))
 
 
 def renumber(clusters: DataFrame) -> DataFrame:
     """Labels 1, 2, … by size, largest first, ties by old label."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.select("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")).alias("label"))
-    return clusters.join(named, "cluster").select("obj_id", F.col("label").alias("cluster"))
+    named = ranked(sizes, F.desc("n"), F.asc("cluster"), name="label")
+    return clusters.join(named, "cluster").select("obj_id", F.col("label").cast("int").alias("cluster"))
 
 
 def _ends(pair_table: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -63,12 +77,19 @@ def _ends(pair_table: DataFrame, clusters: DataFrame) -> DataFrame:
     return pair_table.join(a, "i").join(b, "j")
 
 
-def shares(clusters: DataFrame, pair_table: DataFrame, depth: int = 10) -> DataFrame:
-    """One row (f0, f1): the parts of all distance within and between clusters, from counts and the sparse pairs alone."""
+def shares(clusters: DataFrame, serp: DataFrame, depth: int = 10) -> DataFrame:
+    """One row (f0, f1): the parts of all distance within and between clusters.
+
+    Items that n rankings share make n (n - 1) / 2 common items, among all rankings and within a cluster alike, so counts
+    of items suffice and no pair is formed.
+    """
     n = F.col("n").cast("double")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_all"), F.sum(n * (n - 1) / 2).alias("within"))
-    seen = _ends(pair_table, clusters).agg(F.coalesce(F.sum("common"), F.lit(0)).alias("c_all"), F.coalesce(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("common"))), F.lit(0)).alias("c_in"))
-    both = sizes.join(F.broadcast(seen))  # one row each
+    pairs_of = F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_all"), pairs_of.alias("within"))
+    held = stored(serp.join(clusters.withColumnRenamed("obj_id", "query_id"), "query_id").groupBy("item", "cluster").agg(F.count(F.lit(1)).alias("n")), "held")
+    inside = held.agg(pairs_of.alias("c_in"))
+    every = held.groupBy("item").agg(F.sum("n").alias("n")).agg(pairs_of.alias("c_all"))
+    both = sizes.join(F.broadcast(inside)).join(F.broadcast(every))  # one row each
     total = F.col("n_all").cast("double") * (F.col("n_all") - 1) / 2 - F.col("c_all") / depth
     f0 = (F.col("within") - F.col("c_in") / depth) / total
     return both.select(F.round(f0, 6).alias("f0"), F.round(1 - f0, 6).alias("f1"))
@@ -88,59 +109,112 @@ def medoids(clusters: DataFrame, pair_table: DataFrame, depth: int = 10) -> Data
     return most.groupBy("cluster").agg(F.min_by("obj_id", F.struct((-F.col("c")).alias("c"), "obj_id")).alias("medoid"))
 
 
+#: Distances of a merged cluster to another by Lance and Williams, from those of its parts (da, db), their own (h) and the sizes.
+METHODS = {
+    "single": lambda da, db, h, na, nb, nc: np.minimum(da, db),
+    "complete": lambda da, db, h, na, nb, nc: np.maximum(da, db),
+    "average": lambda da, db, h, na, nb, nc: (na * da + nb * db) / (na + nb),
+    "weighted": lambda da, db, h, na, nb, nc: (da + db) / 2,
+    "centroid": lambda da, db, h, na, nb, nc: (na * da + nb * db) / (na + nb) - na * nb * h / (na + nb) ** 2,
+    "median": lambda da, db, h, na, nb, nc: (da + db) / 2 - h / 4,
+    "ward": lambda da, db, h, na, nb, nc: ((na + nc) * da + (nb + nc) * db - nc * h) / (na + nb + nc),
+}
+SQUARED = ("ward", "centroid", "median")
+
+
 def merge_order(d: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
     """(left, right, height, size) of agglomeration over a square matrix; ties by height, then the smaller cluster numbers.
 
-    Clusters 0 … n-1 are the objects, merges are numbered on from n. Updates follow Lance and Williams; ward, centroid and
-    median take Euclidean distances.
+    Clusters 0 … n-1 are the objects, merges are numbered on from n; ward, centroid and median take Euclidean distances.
+    Each cluster keeps its nearest later one, so a merge costs its row and the rows that lose their nearest: about n * n
+    steps in all. Heights within 1e-12 count as equal.
     """
     n = len(d)
-    d = d.astype(float) ** (2 if method in ("ward", "centroid", "median") else 1)
-    dist = {(a, b): d[a, b] for a in range(n) for b in range(a + 1, n)}
-    size, alive, out = dict.fromkeys(range(n), 1), list(range(n)), []
+    full = np.full((2 * n, 2 * n), np.inf)
+    full[:n, :n] = np.round(np.triu(d.astype(float) ** (2 if method in SQUARED else 1), 1), 12)
+    full[:n, :n][np.tril_indices(n)] = np.inf
+    size = np.ones(2 * n)
+    near = full[:, :n].argmin(axis=1) if n else np.zeros(0, int)
+    best = full[np.arange(2 * n), near] if n else np.zeros(0)
+    alive, out = np.zeros(2 * n, bool), []
+    alive[:n] = True
     for new in range(n, 2 * n - 1):
-        (a, b), h = min(dist.items(), key=lambda x: (x[1], x[0]))
-        na, nb = size[a], size[b]
-        alive = [c for c in alive if c not in (a, b)]
-        for c in alive:
-            da, db, nc = dist.pop((min(a, c), max(a, c))), dist.pop((min(b, c), max(b, c))), size[c]
-            dist[c, new] = {
-                "single": lambda: min(da, db), "complete": lambda: max(da, db), "average": lambda: (na * da + nb * db) / (na + nb), "weighted": lambda: (da + db) / 2,
-                "centroid": lambda: (na * da + nb * db) / (na + nb) - na * nb * h / (na + nb) ** 2, "median": lambda: (da + db) / 2 - h / 4,
-                "ward": lambda: ((na + nc) * da + (nb + nc) * db - nc * h) / (na + nb + nc),
-            }[method]()
-        del dist[a, b]
-        size[new] = na + nb
-        alive.append(new)
-        out.append((a, b, float(np.sqrt(max(h, 0))) if method in ("ward", "centroid", "median") else float(h), na + nb))
+        a = int(best.argmin())
+        b, h = int(near[a]), float(best[a])
+        alive[[a, b]] = False
+        c = np.flatnonzero(alive)
+        da, db = np.minimum(full[a, c], full[c, a]), np.minimum(full[b, c], full[c, b])
+        size[new] = size[a] + size[b]
+        full[c, new] = np.round(METHODS[method](da, db, h, size[a], size[b], size[c]), 12)
+        for gone in (a, b):
+            full[gone, :], full[:, gone], best[gone] = np.inf, np.inf, np.inf
+        alive[new] = True
+        lost = c[(near[c] == a) | (near[c] == b)]
+        near[lost] = full[lost, : new + 1].argmin(axis=1)
+        best[lost] = full[lost, near[lost]]
+        closer = c[full[c, new] < best[c]]
+        near[closer], best[closer] = new, full[closer, new]
+        out.append((a, b, float(np.sqrt(max(h, 0))) if method in SQUARED else h, int(size[new])))
     return out
 
 
+MERGES = "component long, step int, a long, b long, height double, size int"
+
+
+def _merges(component: int, ids: list[int], d: np.ndarray, method: str, below: float) -> pd.DataFrame:
+    name, out = dict(enumerate(ids)), []
+    for k, (a, b, h, s) in enumerate(merge_order(d, method)):
+        name[len(ids) + k] = min(name[a], name[b])
+        if h < below:
+            out.append((component, k, *sorted((name[a], name[b])), round(h, 6), s))
+    return pd.DataFrame(out, columns=["component", "step", "a", "b", "height", "size"])
+
+
+def _square(pdf: pd.DataFrame, ids: list[int], diagonal: float, absent: float = 1.0) -> np.ndarray:
+    at = {x: k for k, x in enumerate(ids)}
+    d = np.full((len(ids), len(ids)), absent)
+    np.fill_diagonal(d, diagonal)
+    i, j = pdf.i.map(at).values.astype(int), pdf.j.map(at).values.astype(int)
+    d[i, j] = d[j, i] = pdf.dist.values
+    return d
+
+
 def linkage(objects: DataFrame, pair_table: DataFrame, method: str = "average", depth: int = 10) -> DataFrame:
     """(component, step, a, b, height, size): merges below distance 1 by ``single``, ``complete``, ``average`` or ``weighted``.
 
     Under these methods clusters of different components of {distance < 1} are at distance exactly 1, so each component is
-    agglomerated by itself. a and b name clusters by their smallest object.
+    agglomerated by itself. a and b name clusters by their smallest object. By ``ward``, ``centroid`` and ``median`` the
+    distance is that of the rankings as sets of items in Euclidean space, sqrt(2 (depth - common)); nothing is far enough
+    apart to be left out then, so all objects are agglomerated in one task, with all merges. A task's square matrix of n
+    objects takes 32 n * n bytes.
     """
-    if method not in ("single", "complete", "average", "weighted"):
+    if method in SQUARED:
+        absent = float(np.sqrt(2 * depth))
+        far = pair_table.select("i", "j", F.sqrt(2.0 * (depth - F.col("common"))).alias("dist"))
+        rows = far.unionByName(objects.select(F.col("obj_id").alias("i"), F.col("obj_id").alias("j"), F.lit(0.0).alias("dist"))).withColumn("cluster", F.lit(0))
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = sorted({*pdf.i, *pdf.j})
+            return _merges(ids[0], ids, _square(pdf[pdf.i != pdf.j], ids, 0.0, absent), method, np.inf)
+
+        return rows.groupBy("cluster").applyInPandas(whole, MERGES)
+    if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     part = components(objects, pair_table)
     rows = pair_table.join(part, F.col("i") == F.col("obj_id")).select("cluster", "i", "j", "dist")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted({*pdf.i, *pdf.j})
-        at = {x: k for k, x in enumerate(ids)}
-        d = np.ones((len(ids), len(ids)))
-        i, j = pdf.i.map(at).values, pdf.j.map(at).values
-        d[i, j] = d[j, i] = pdf.dist.values
-        name, out = dict(enumerate(ids)), []
-        for k, (a, b, h, s) in enumerate(merge_order(d, method)):
-            name[len(ids) + k] = min(name[a], name[b])
-            if h < 1:
-                out.append((pdf.cluster.iloc[0], k, *sorted((name[a], name[b])), round(h, 6), s))
-        return pd.DataFrame(out, columns=["component", "step", "a", "b", "height", "size"])
+        return _merges(int(pdf.cluster.iloc[0]), ids, _square(pdf, ids, 0.0), method, 1.0)
+
+    return rows.groupBy("cluster").applyInPandas(run, MERGES)
 
-    return rows.groupBy("cluster").applyInPandas(run, "component long, step int, a long, b long, height double, size int")
+
+def heights(objects: DataFrame, merges: DataFrame) -> DataFrame:
+    """(k, height): the height at which so many clusters become one fewer, for a plot; merges that are left out are at the top."""
+    total = objects.agg(F.count(F.lit(1)).alias("total"))
+    order = ranked(merges.select("height", "component", "step"), F.asc("height"), F.asc("component"), F.asc("step"), name="place")
+    return order.join(F.broadcast(total)).select((F.col("total") - F.col("place") + 1).alias("k"), "height")  # one row
 
 
 def cut(objects: DataFrame, merges: DataFrame, level: float) -> DataFrame:
@@ -155,7 +229,7 @@ def _sphere(d: np.ndarray, free: np.ndarray, centre: int, radius: float) -> tupl
         inside = np.flatnonzero(free & (d[centre] < radius))
         if not len(inside):
             return centre, inside
-        medoid = int(inside[d[np.ix_(inside, inside)].sum(axis=1).argmin()])
+        medoid = int(inside[np.round(d[np.ix_(inside, inside)].sum(axis=1), 9).argmin()])
         if medoid == centre or medoid in seen:
             return medoid, np.flatnonzero(free & (d[medoid] < radius))
         seen.add(medoid)
@@ -174,6 +248,13 @@ def forel_once(d: np.ndarray, radius: float, rng: np.random.Generator) -> list[t
     return out
 
 
+def _within(pair_table: DataFrame, part: DataFrame) -> DataFrame:
+    """(part, i, j, dist) of the pairs inside a part, near or not: members of a sphere may be far from each other."""
+    ends = (part.select(F.col("obj_id").alias(x), F.col("part").alias(f"of_{x}")) for x in "ij")
+    both = pair_table.join(next(ends), "i").join(next(ends), "j").where("of_i = of_j")
+    return both.select(F.col("of_i").alias("part"), "i", "j", "dist")
+
+
 def forel(objects: DataFrame, pair_table: DataFrame, radius: float = 0.9, tries: int = 1, seed: int = 1) -> DataFrame:
     """(obj_id, centre): the best of ``tries`` FOREL runs by summed distance to the centres, for a radius of at most 1.
 
@@ -182,16 +263,12 @@ def forel(objects: DataFrame, pair_table: DataFrame, radius: float = 0.9, tries:
     """
     near = pair_table.where(F.col("dist") < radius)
     part = components(objects, near).withColumnRenamed("cluster", "part")
-    rows = near.join(part, F.col("i") == F.col("obj_id")).select("part", "i", "j", "dist")
+    rows = _within(pair_table, part)
     runs = rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit((tries - 1) // 20))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted({*pdf.i, *pdf.j})
-        at = {x: k for k, x in enumerate(ids)}
-        d = np.ones((len(ids), len(ids)))
-        np.fill_diagonal(d, 0)
-        i, j = pdf.i.map(at).values, pdf.j.map(at).values
-        d[i, j] = d[j, i] = pdf.dist.values
+        d = _square(pdf, ids, 0.0)
         part, lot = int(pdf.part.iloc[0]), int(pdf["lot"].iloc[0])
         best = None
         for k in range(20 * lot, min(tries, 20 * lot + 20)):
@@ -208,24 +285,25 @@ def forel(objects: DataFrame, pair_table: DataFrame, radius: float = 0.9, tries:
     return objects.join(placed, "obj_id", "left").select("obj_id", F.coalesce("centre", "obj_id").alias("centre"))
 
 
-def skat(objects: DataFrame, pair_table: DataFrame, start: DataFrame, radius: float = 0.9, rounds: int = 20) -> DataFrame:
-    """(centre, obj_id): spheres over all objects grown from FOREL's centres until they stay; they may overlap."""
-    ensure_checkpoints(objects.sparkSession)
+def skat(objects: DataFrame, pair_table: DataFrame, start: DataFrame, radius: float = 0.9) -> DataFrame:
+    """(centre, obj_id): spheres over all objects grown from FOREL's centres until they stay; they may overlap.
+
+    A sphere lies within one component of {distance < radius}, so each component moves its own centres; a centre that
+    comes back to where it was stays there.
+    """
     near = pair_table.where(F.col("dist") < radius)
-    both = near.select(F.col("i").alias("a"), F.col("j").alias("b"), "dist").unionByName(near.select(F.col("j").alias("a"), F.col("i").alias("b"), "dist")).unionByName(objects.select(F.col("obj_id").alias("a"), F.col("obj_id").alias("b"), F.lit(0.0).alias("dist"))).checkpoint()
-    centres = start.select("centre").distinct().checkpoint()
-    for _ in range(rounds):
-        inside = centres.join(both.select(F.col("a").alias("centre"), F.col("b").alias("obj_id")), "centre")
-        other = inside.select("centre", F.col("obj_id").alias("b"))
-        sums = inside.join(both.select(F.col("a").alias("obj_id"), "b", "dist"), "obj_id").join(other, ["centre", "b"]).groupBy("centre", "obj_id").agg(F.sum("dist").alias("s"), F.count(F.lit(1)).alias("k"))
-        n = inside.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-        moved = sums.join(n, "centre").withColumn("sum", F.round(F.col("s") + F.col("n") - F.col("k"), 9)).groupBy("centre").agg(F.min_by("obj_id", F.struct("sum", "obj_id")).alias("to"))
-        new = moved.select(F.col("to").alias("centre")).distinct().checkpoint()
-        same = new.exceptAll(centres).isEmpty() and centres.exceptAll(new).isEmpty()
-        centres = new
-        if same:
-            break
-    return centres.join(both.select(F.col("a").alias("centre"), F.col("b").alias("obj_id")), "centre")
+    part = components(objects, near).withColumnRenamed("cluster", "part")
+    rows = _within(pair_table, part).withColumn("starts", F.lit(False))
+    ends = start.select("centre").distinct().join(part, F.col("centre") == F.col("obj_id")).select("part", F.col("centre").alias("i"), F.col("centre").alias("j"), F.lit(0.0).alias("dist"), F.lit(True).alias("starts"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted({*pdf.i, *pdf.j})
+        at, d = {x: k for k, x in enumerate(ids)}, _square(pdf[~pdf.starts], ids, 0.0)
+        every = np.ones(len(ids), bool)
+        spheres = dict(_sphere(d, every, at[x], radius) for x in sorted(pdf.i[pdf.starts]))
+        return pd.DataFrame([(ids[c], ids[m]) for c, inside in spheres.items() for m in inside], columns=["centre", "obj_id"])
+
+    return rows.unionByName(ends).groupBy("part").applyInPandas(run, "centre long, obj_id long")
 
 
 def forel_then_path(objects: DataFrame, pair_table: DataFrame, radius: float = 0.6, level: float = 0.7, tries: int = 1) -> DataFrame:
@@ -241,33 +319,48 @@ def similarity_graph(pair_table: DataFrame, depth: int = 10) -> DataFrame:
     return pair_table.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.round(F.col("common") / depth, 6).alias("weight"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, pr): weighted undirected PageRank by a fixed number of rounds; vertices without edges spread evenly."""
-    ensure_checkpoints(vertices.sparkSession)
+def pagerank(vertices: DataFrame, edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, most: int = 10_000) -> DataFrame:
+    """(id, pr): weighted undirected PageRank, until the ranks change by less than ``tolerance`` in sum (an error if they
+    still do after ``most`` rounds).
+
+    Vertices without edges spread evenly; all of them bear the same rank, which is followed as one number. Ranks are
+    written and compared every third round.
+    """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    share = both.join(both.groupBy("src").agg(F.sum("weight").alias("out")), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
-    n = vertices.count()
-    linked = share.select("src").distinct()
-    rank = vertices.select("id", F.lit(1.0 / max(n, 1)).alias("pr"))
-    for k in range(iterations):
-        got = share.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("pr") * F.col("share")).alias("got"))
-        lost = rank.join(linked, F.col("id") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("lost"))
-        rank = vertices.join(got, F.col("id") == F.col("dst"), "left").join(F.broadcast(lost)).select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("pr"))  # one row
+    share = stored(both.join(both.groupBy("src").agg(F.sum("weight").alias("out")), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "shares")
+    linked = stored(share.select(F.col("src").alias("id")).distinct(), "linked")
+    n, alone = vertices.count(), vertices.count() - linked.count()
+    rank, single = linked.select("id", F.lit(1.0 / max(n, 1)).alias("pr")), 1.0 / max(n, 1)
+    change = np.inf
+    for k in range(most):
+        base = (1 - damping) / max(n, 1) + damping * alone * single / max(n, 1)
+        new = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.lit(base) + damping * F.sum(F.col("pr") * F.col("share"))).alias("pr"))
+        moved = alone * abs(base - single)
+        single = base
         if k % 3 == 2:
-            rank = rank.checkpoint()
-    return rank.select("id", F.round("pr", 8).alias("pr"))
+            both_ranks = stored(new.join(rank.withColumnRenamed("pr", "old"), "id"), "ranks")
+            change = moved + (both_ranks.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] or 0.0)
+            new = both_ranks.select("id", "pr")
+        rank = new
+        if change < tolerance:
+            break
+    else:
+        raise ArithmeticError(f"PageRank still changes by {change} after {most} rounds")
+    return vertices.join(rank, "id", "left").select("id", F.coalesce("pr", F.lit(single)).alias("pr"))
 
 
 def prune(vertices: DataFrame, edges: DataFrame, ranks: DataFrame, threshold: float = 0.4) -> DataFrame:
     """(id, gap): vertices whose degree differs much from both neighbours' in the order of PageRank, by mean gap.
 
-    Much is over max - threshold * (max - min) of all gaps; the first and last vertex never go. One row a vertex.
+    Much is over max - threshold * (max - min) of all gaps; the first and last vertex never go.
     """
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    order = Window.orderBy(F.desc("pr"), "id")
-    rows = vertices.join(ranks, "id").join(degree, "id", "left").na.fill(0, ["degree"])
-    rows = rows.withColumn("g0", F.abs(F.col("degree") - F.lag("degree").over(order))).withColumn("g1", F.abs(F.lead("degree").over(order) - F.col("degree")))
-    limit = rows.agg((F.max("g0") - threshold * (F.max("g0") - F.min("g0"))).alias("delta"))
-    out = rows.join(F.broadcast(limit)).where((F.col("g0") > F.col("delta")) & (F.col("g1") > F.col("delta")))  # one row
+    rows = vertices.join(ranks, "id").join(degree, "id", "left").select("id", "pr", F.coalesce("degree", F.lit(0)).alias("degree"))
+    rows = stored(ranked(rows, F.desc("pr"), F.asc("id"), name="at").select("id", "degree", "at"), "order")
+    before, after = (rows.select((F.col("at") + step).alias("at"), F.col("degree").alias(name)) for step, name in ((1, "before"), (-1, "after")))
+    gaps = rows.join(before, "at", "left").join(after, "at", "left").select("id", F.abs(F.col("degree") - F.col("before")).alias("g0"), F.abs(F.col("after") - F.col("degree")).alias("g1"))
+    gaps = stored(gaps, "gaps")
+    limit = gaps.agg((F.max("g0") - threshold * (F.max("g0") - F.min("g0"))).alias("delta"))
+    out = gaps.join(F.broadcast(limit)).where((F.col("g0") > F.col("delta")) & (F.col("g1") > F.col("delta")))  # one row
     return out.select("id", ((F.col("g0") + F.col("g1")) / 2).alias("gap"))

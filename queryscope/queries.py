@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from queryscope.functions import ranking, text
 from queryscope.operators import cluster, page_features, readability, terms
 from queryscope.plans import pipelines
-from queryscope.sources import fixtures, store
+from queryscope.sources import fixtures, snippets, store
 from queryscope.sources.fixtures import load
 from queryscope.sources.shared import spread, stored
 
 #: Ranking queries of the index operators: a parameter list of (query_id, term as written).
 QUERY_LIST = ((1, ("rewh", "orantion", "inoran")), (2, ("thing", "thin", "ther", "thon")), (3, ("auf",)), (4, ("thble", "nowhere")))
 LEVEL = 0.6
-#: The pages that a ranking's items stand for: item modulo this many.
-SITES = 50
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,8 +118,7 @@ def serp_fresh_read(spark, sf):
     items = _serp(spark, sf).withColumnRenamed("item", "url_id")
     known = load(spark, sf, "events").where("user_id is not null").groupBy(F.col("user_id").alias("query_id")).agg(F.to_date(F.max("ts")).alias("record_date"))
     urls = load(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("url_id"), F.col("p_name").alias("title"))
-    today = known.agg(F.max("record_date")).first()[0]
-    return store.read_fresh(items, known, urls, F.lit(today))
+    return store.read_fresh(items, known, urls, known.agg(F.max("record_date").alias("today")))
 
 
 @query(f"""with {SERP}, {STRICT}, b as (select *, 1 as version from strict union all select *, 2 from serp where query_id % 2 = 0)
@@ -150,9 +147,13 @@ def host_frequency(spark, sf):
     return pipelines.without_minus_words(counts, "host", EXCLUDED)
 
 
-@query("select item_id, text as query from benchmark where " + " and ".join(f"not contains(text, '{w}')" for w in pipelines.MINUS_WORDS))
+#: The defaults and a word of the test data.
+MINUS = (*pipelines.MINUS_WORDS, "thing")
+
+
+@query("select item_id, text as query from benchmark where " + " and ".join(f"not contains(text, '{w}')" for w in MINUS))
 def minus_word_filter(spark, sf):
-    return pipelines.without_minus_words(load(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")))
+    return pipelines.without_minus_words(load(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")), words=MINUS)
 
 
 @query(r"select distinct q as query from (select lower(trim(regexp_replace(text, '[^\p{L}\p{N}_\t\n\f\r ]+|[\p{Nd}]+|•', ' ', 'g'), E' ')) as q from conversations) where length(q) > 0")
@@ -185,15 +186,17 @@ def comm_inf_text(spark, sf):
 
 def _page_items(spark, sf):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return load(spark, sf, "pages").select("page_id", "url", title.alias("title"), fixtures.host().alias("host"))
+    #: a ranking's snippet is a short text; a page's is that of its first 200 characters
+    snippet = F.substring(F.regexp_replace("html", "<[^>]*>", " "), 1, 200)
+    return load(spark, sf, "pages").select("page_id", "url", title.alias("title"), snippet.alias("snippet"), fixtures.host().alias("host"))
 
 
-@query(f"""with {SERP}, pg as (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)
-select query_id, sum({_count_sql('url', ranking.URL_COMMERCIAL)} + {_marker_sql('title', ranking.TEXT_COMMERCIAL)})::bigint as commercial,
- sum({_count_sql('url', ranking.URL_INFORMATIONAL)} + {_marker_sql('title', ranking.TEXT_INFORMATIONAL)})::bigint as informational from serp join pg on page_id = item % {SITES} group by query_id""")
+@query(f"""with {SERP}, pg as (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 200) as snippet from pages)
+select query_id, sum({_count_sql('url', ranking.URL_COMMERCIAL)} + {_marker_sql('title', ranking.TEXT_COMMERCIAL)} + {_marker_sql('snippet', ranking.TEXT_COMMERCIAL)})::bigint as commercial,
+ sum({_count_sql('url', ranking.URL_INFORMATIONAL)} + {_marker_sql('title', ranking.TEXT_INFORMATIONAL)} + {_marker_sql('snippet', ranking.TEXT_INFORMATIONAL)})::bigint as informational from serp join pg on page_id = item group by query_id""")
 def query_commercial_score(spark, sf):
-    rows = _serp(spark, sf).join(_page_items(spark, sf), F.col("page_id") == F.col("item") % SITES)
-    return rows.groupBy("query_id").agg(F.sum(ranking.commercial(F.col("url"), F.col("title"), F.lit(""))).alias("commercial"), F.sum(ranking.informational(F.col("url"), F.col("title"), F.lit(""))).alias("informational"))
+    rows = _serp(spark, sf).join(_page_items(spark, sf), F.col("page_id") == F.col("item"))
+    return rows.groupBy("query_id").agg(F.sum(ranking.commercial(F.col("url"), F.col("title"), F.col("snippet"))).alias("commercial"), F.sum(ranking.informational(F.col("url"), F.col("title"), F.col("snippet"))).alias("informational"))
 
 
 @query(f"with {SERP} select distinct pos, round({ranking.CTR_SLOPE}::double / pos - {ranking.CTR_SHIFT}::double, 6) as ctr from serp")
@@ -407,7 +410,7 @@ reach(obj_id, r) as (select obj_id, obj_id from n union select reach.obj_id, e.b
 
 
 def _knp(spark, sf):
-    return cluster.shortest_open_path(_objects(spark, sf), _pairs(spark, sf), LEVEL)
+    return cluster.shortest_open_path(_objects(spark, sf), cluster.pairs(_serp(spark, sf), least=_MOST), LEVEL)
 
 
 @query(f"{_COMP} select * from comp")
@@ -427,7 +430,7 @@ def renumerate(spark, sf):
 c as (select sum(common) as ca, coalesce(sum(case when x.cluster = y.cluster then common end), 0) as ci from pairs join comp x on x.obj_id = i join comp y on y.obj_id = j)
 select round((w - ci / 10.0::double) / (na * (na - 1) / 2 - ca / 10.0::double), 6) as f0, round(1 - (w - ci / 10.0::double) / (na * (na - 1) / 2 - ca / 10.0::double), 6) as f1 from t, c""")
 def cluster_f0_f1(spark, sf):
-    return cluster.shares(_knp(spark, sf), _pairs(spark, sf))
+    return cluster.shares(_knp(spark, sf), _serp(spark, sf))
 
 
 @query(f"{_COMP} select least(x.cluster, y.cluster) as a, greatest(x.cluster, y.cluster) as b, min(dist) as dist from pairs join comp x on x.obj_id = i join comp y on y.obj_id = j where x.cluster <> y.cluster group by 1, 2")
@@ -448,6 +451,17 @@ def linkage_single_cut(spark, sf):
     return cluster.cut(objects, cluster.linkage(objects, _pairs(spark, sf), "single"), LEVEL)
 
 
+@query()
+def linkage_ward(spark, sf):
+    return cluster.linkage(_objects(spark, sf), _pairs(spark, sf), "ward")
+
+
+@query()
+def linkage_heights(spark, sf):
+    objects = _objects(spark, sf)
+    return cluster.heights(objects, cluster.linkage(objects, _pairs(spark, sf), "complete"))
+
+
 @query()
 def linkage_average_cut(spark, sf):
     objects = _objects(spark, sf)
@@ -475,19 +489,20 @@ def forel_knp(spark, sf):
     return cluster.forel_then_path(_objects(spark, sf), _pairs(spark, sf))
 
 
-def _pagerank_sql(rounds: int = 10) -> str:
-    head = f"with {PAIRS}, {_NODES}, e as (select i as src, j as dst, round(common / 10.0::double, 6) as weight from pairs), b as (select * from e union all select dst, src, weight from e), sh as (select src, dst, weight / sum(weight) over (partition by src) as share from b), k as (select count(*)::double as k from n)"
+def _pagerank_sql(rounds: int = 40) -> str:
+    """Power iteration well past the operator's tolerance."""
+    head = f"with {PAIRS}, {_NODES}, e as (select i as src, j as dst, round(common / 10.0::double, 6) as weight from pairs), b as (select * from e union all select dst, src, weight from e), sh as materialized (select src, dst, weight / sum(weight) over (partition by src) as share from b), k as (select count(*)::double as k from n)"
     steps = ["r0 as (select obj_id as id, 1.0 / k as pr from n, k)"]
     for t in range(1, rounds + 1):
         r = f"r{t - 1}"
-        steps.append(f"r{t} as (select obj_id as id, 0.15::double / k + 0.85::double * (coalesce(g.got, 0) + (select coalesce(sum(pr), 0) from {r} where id not in (select src from sh)) / k) as pr from n left join (select dst, sum(pr * share) as got from sh join {r} on src = id group by dst) g on g.dst = obj_id, k)")
-    return f"{head}, {', '.join(steps)}, pr as (select id, round(pr, 8) as pr from r{rounds})"
+        steps.append(f"r{t} as materialized (select obj_id as id, 0.15::double / k + 0.85::double * (coalesce(g.got, 0) + (select coalesce(sum(pr), 0) from {r} where id not in (select src from sh)) / k) as pr from n left join (select dst, sum(pr * share) as got from sh join {r} on src = id group by dst) g on g.dst = obj_id, k)")
+    return f"{head}, {', '.join(steps)}, pr as materialized (select id, round(pr, 6) as pr from r{rounds})"
 
 
 def _ranks(spark, sf):
     v = _objects(spark, sf).withColumnRenamed("obj_id", "id")
     e = cluster.similarity_graph(_pairs(spark, sf))
-    return v, e, cluster.pagerank(v, e)
+    return v, e, cluster.pagerank(v, e, tolerance=1e-9).select("id", F.round("pr", 6).alias("pr"))
 
 
 @query(f"{_pagerank_sql()} select * from pr")
@@ -512,57 +527,99 @@ def page_title(spark, sf):
 
 
 def _q(p: str) -> str:
-    return p.replace("'", "''")
+    """A pattern as a SQL literal; RE2 needs no flag for Unicode classes."""
+    return p.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
 
+def _features_sql(source: str) -> str:
+    flags = ", ".join(f"regexp_matches(coalesce(html, ''), '{_q(p)}')::int as {k}" for k, p in page_features.FLAGS.items())
+    spots = " + ".join(f"len(regexp_extract_all(coalesce(html, ''), '{_q(p)}'))" for p in page_features.ADDRESSES)
+    ends = [f"try_cast(regexp_extract(html, '{_q(page_features.RANGE)}', {k}) as int)" for k in (1, 2)]
+    return f"""select page_id, length(coalesce(html, ''))::int as html_len, coalesce(regexp_matches(url, '{_q(page_features.FACE)}'), false)::int as face, {flags},
+ ({spots} + contains(coalesce(html, ''), '{page_features.ADDRESS_TAIL}')::int)::int as address_marks, len(regexp_extract_all(coalesce(html, ''), '{_q(page_features.PRICE_IN_HTML)}'))::int as price_marks,
+ ({ends[1]} - {ends[0]} + 1)::int as shown_range from {source}"""
 
-_FEATURES = (
-    f"select page_id, length(coalesce(html, ''))::int as html_len, coalesce(regexp_matches(url, '{_q(page_features.FACE)}'), false)::int as face, "
-    + ", ".join(f"regexp_matches(coalesce(html, ''), '{_q(p)}')::int as {k}" for k, p in page_features.FLAGS.items())
-    + ", ("
-    + " + ".join(f"len(regexp_extract_all(coalesce(html, ''), '{_q(p)}'))" for p in page_features.ADDRESSES)
-    + f" + contains(coalesce(html, ''), '{page_features.ADDRESS_TAIL}')::int)::int as addresses, len(regexp_extract_all(coalesce(html, ''), '{_q(page_features.PRICE_HTML)}'))::int as price_marks, "
-    + f"coalesce(try_cast(regexp_extract(html, '{_q(page_features.RANGE)}', 2) as int) - try_cast(regexp_extract(html, '{_q(page_features.RANGE)}', 1) as int) + 1, 0)::int as shown_range from pages"
-)
+
+def _phones_sql(source: str) -> str:
+    return f"""with d as (select page_id, list_transform(regexp_extract_all(coalesce(html, ''), '{_q(page_features.PHONE)}'), lambda x: regexp_replace(x, '\\D', '', 'g')) as ds from {source})
+select page_id, array_to_string(list_filter(list_transform(ds, lambda x: case when length(x) = 11 and (x[1] = '7' or x[1] = '8') then x[2:] when length(x) = 12 and starts_with(x, '44') then x[3:] else x end),
+ lambda x: length(x) in (5, 6, 7, 10, 11, 12) and not regexp_matches(x, '{page_features.BAD_PHONE}')), ',') as phones from d"""
 
 
-@query(_FEATURES)
+@query(_features_sql("pages"))
 def page_regex_features(spark, sf):
-    return page_features.regex_features(load(spark, sf, "pages"))
+    return page_features.regex_features(spread(load(spark, sf, "pages")))
 
 
-@query(f"""with d as (select page_id, list_transform(regexp_extract_all(coalesce(html, ''), '{_q(page_features.PHONE)}'), lambda x: regexp_replace(x, '\\D', '', 'g')) as ds from pages)
-select page_id, array_to_string(list_filter(list_transform(ds, lambda x: case when length(x) = 11 and (x[1] = '7' or x[1] = '8') then x[2:] when length(x) = 12 and starts_with(x, '44') then x[3:] else x end),
- lambda x: length(x) in (5, 6, 7, 10, 11, 12) and not regexp_matches(x, '{page_features.BAD_PHONE}')), ',') as phones from d""")
+@query(_phones_sql("pages"))
 def page_phones(spark, sf):
-    return page_features.phones(load(spark, sf, "pages")).select("page_id", F.array_join("phones", ",").alias("phones"))
+    return page_features.phones(spread(load(spark, sf, "pages"))).select("page_id", F.array_join("phones", ",").alias("phones"))
+
+
+@query(_features_sql(snippets.pages_sql()))
+def snippet_regex_features(spark, sf):
+    """Every pattern on hand-written Cyrillic pages, which the tables lack."""
+    return page_features.regex_features(snippets.pages(spark))
+
 
+@query(_phones_sql(snippets.pages_sql()))
+def snippet_phones(spark, sf):
+    return page_features.phones(snippets.pages(spark)).select("page_id", F.array_join("phones", ",").alias("phones"))
 
-@query(f"""with f as ({_FEATURES}), l as (select page_id, unnest(['html_len', 'addresses', 'price_marks', 'search_text']) as feature, unnest([html_len, addresses, price_marks, search_text])::double as value from f),
+
+_OUTLIER_KEYS = ("html_len", "face", *page_features.FLAGS, "address_marks", "price_marks")
+
+
+@query(f"""with f as ({_features_sql("pages")}), l as (select page_id, unnest([{", ".join(f"'{c}'" for c in _OUTLIER_KEYS)}]) as feature, unnest([{", ".join(f"{c}::double" for c in _OUTLIER_KEYS)}]) as value from f),
 g as (select page_id, {_HOST} as grp from pages), s as (select grp, feature, avg(value) as mean, stddev_samp(value) as sd from l join g using (page_id) group by 1, 2 having count(*) > 1)
 select page_id, feature, round(value, 6) as value from l join g using (page_id) join s using (grp, feature) where abs(value - mean) > sd + 1e-9""")
 def feature_outliers(spark, sf):
     pages = load(spark, sf, "pages")
-    return page_features.outliers(page_features.regex_features(pages).select("page_id", "html_len", "addresses", "price_marks", "search_text"), pages.select("page_id", fixtures.host().alias("grp")))
+    return page_features.outliers(page_features.regex_features(spread(pages)).select("page_id", *_OUTLIER_KEYS), pages.select("page_id", fixtures.host().alias("grp")))
+
+
+_TITLE_ZONE = "select page_id as doc_id, 'title' as zone, regexp_extract(html, '<title>([^<]*)</title>', 1) as text from pages"
+
+
+@query(f"""with {_post_sql(_TITLE_ZONE)}, o as materialized (select distinct doc_id, term from post), g as (select page_id as doc_id, {_HOST} as grp from pages), u as materialized (select grp, term from o join g using (doc_id) group by 1, 2 having count(*) > 1)
+select w.doc_id, w.term from (select g.doc_id, u.term from g join u using (grp)) w anti join o on o.doc_id = w.doc_id and o.term = w.term""")
+def missing_title_words(spark, sf):
+    """Words of peers' titles that a page's title lacks; any other zone is compared alike."""
+    pages = load(spark, sf, "pages")
+    titles = _page_zones(spark, sf).where("zone = 'title'")
+    return terms.missing_words(titles, pages.select(F.col("page_id").alias("doc_id"), fixtures.host().alias("grp")), more_than=1)
 
 
 @query()
 def page_dom_features(spark, sf):
-    return page_features.tree_features(load(spark, sf, "pages"))
+    return page_features.tree_features(spread(load(spark, sf, "pages")))
 
 
 @query()
 def page_vector(spark, sf):
-    return page_features.vector(load(spark, sf, "pages"))
+    return page_features.vector(spread(load(spark, sf, "pages")))
 
 
 @query()
 def readability_zones(spark, sf):
-    return readability.zones(load(spark, sf, "pages"))
+    return readability.zones(spread(load(spark, sf, "pages")))
+
+
+@query()
+def readable_html(spark, sf):
+    return readability.readable(spread(load(spark, sf, "pages")))
+
+
+@query()
+def item_page_counts(spark, sf):
+    pages = load(spark, sf, "pages")
+    items = _serp(spark, sf).join(pages.select("page_id", "url"), F.col("page_id") == F.col("item")).select("query_id", "pos", "url")
+    return page_features.item_counts(items, spread(pages))
 
 
 @query()
 def gz_rate(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", text.gz_rate(F.col("text")).alias("gz_rate"))
+    return spread(load(spark, sf, "documents")).select("doc_id", text.gz_rate(F.col("text")).alias("gz_rate"))
 
 
 @query()
@@ -572,7 +629,7 @@ def semantic_core(spark, sf):
 
 @query()
 def rank_documents(spark, sf):
-    return pipelines.rank_documents(load(spark, sf, "pages"), _terms(spark))
+    return pipelines.rank_documents(spread(load(spark, sf, "pages")), _terms(spark))
 
 
 @query()

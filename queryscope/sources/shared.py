@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders made for local sessions that name no shared folder, by application id.
@@ -54,3 +54,17 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a table of few file splits to all cores; one with enough splits stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """``df`` with the place (1, 2, …) of each row in a total ``order``, without gathering the rows in one task.
+
+    Rows are sorted in ranges and written; places are those within a range plus the counts of the ranges before, of which
+    there is one row each.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    rows = stored(sorted_.withColumn("_range", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")  # a row for each range
