@@ -2,47 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Folders made for local sessions that name no shared folder, by application id.
-_LOCAL_ROOTS: dict[str, str] = {}
+from queryscope.sources.shared import scratch, sendable, shared_root, stored
 
+__all__ = ["among", "gram_hashes", "hashes", "octets", "open_fs", "put", "putting", "scratch", "sendable", "shared_root", "shingle_views", "stored", "without"]
 
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: ``spark.checkpoint.dir``.
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
-    A local session without that setting (tests) gets a temporary folder; a cluster without it is an error, since a
-    machine-local folder would not be seen by other machines.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if root is None:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if sc.applicationId not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="queryscope-")
-            sc.setCheckpointDir(_LOCAL_ROOTS[sc.applicationId])
-        root = _LOCAL_ROOTS[sc.applicationId]
-    return f"file://{root}" if root.startswith("/") else root
 
+def among(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``df`` with a stored table that is counted first, so that texts are not shuffled to meet a few rows."""
+    return df.join(sendable(wanted), on)
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def without(df: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
+    """The rows of ``df`` that the stored table ``gone`` does not name; ``on`` gives the column of ``df`` for each of its columns.
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Columns of ``df`` keep their names whatever they are.
+    """
+    named = sendable(gone.select(*[F.col(c).alias(f"__gone_{k}") for k, c in enumerate(on)]))
+    match = None
+    for k, column in enumerate(on.values()):
+        test = column == named[f"__gone_{k}"]
+        match = test if match is None else match & test
+    return df.join(named, match, "left_anti")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -50,15 +44,25 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, *chunks: bytes) -> None:
-    """Write a file whole or not at all: a retried or speculative task repeats the same bytes under a name of its own."""
+@contextmanager
+def putting(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream to a file that appears whole or not at all: a retried or speculative task repeats the same bytes under a name of its own."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
+    try:
+        with fs.open_output_stream(part) as out:
+            yield out
+    except BaseException:
+        fs.delete_file(part)
+        raise
+    fs.move(part, path)
+
+
+def put(uri: str, *chunks: bytes) -> None:
+    with putting(uri) as out:
         for chunk in chunks:
             out.write(chunk)
-    fs.move(part, path)
 
 
 def octets(column: pa.Array) -> list[bytes]:
@@ -83,3 +87,15 @@ def shingle_views(words: list[bytes], n: int):
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     return [text[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k word hashes."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = (h ^ words[j : j + n]) * _MULT
+        h ^= h >> np.uint64(31)
+    return h * _STEP

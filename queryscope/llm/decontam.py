@@ -11,13 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import hashes, octets, stored
+from queryscope.llm.common import gram_hashes, hashes, octets, stored, without
 
 SPAN, GRAM = 8, 5
 #: Bits of the filter that documents' fingerprints pass before they are shuffled: 2 MB, whatever the benchmark's size.
 _FILTER_BITS = 24
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 #: A-Z to a-z, other ASCII but letters and digits to space; bytes of non-ASCII characters stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -26,18 +24,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k word hashes."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, k, np.uint64)
-    for j in range(k):
-        h = (h ^ words[j : j + n]) * _MULT
-        h ^= h >> np.uint64(31)
-    return h * _STEP
-
-
 def winnow(words: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, start of its k-gram) of every window of ``span`` words, in order."""
     g, w = gram_hashes(words, k), span - k + 1
@@ -164,5 +150,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, max_sha
     """
     c = contamination(docs, items, min_items=min_items)
     bad = F.col("contaminated") if max_share is None else F.col("contaminated") | (F.col("n_hit") > max_share * F.col("n_words"))
-    gone = c.where(bad).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(c.where(bad).where("doc_id is not null").select("doc_id").distinct(), "gone")
+    return without(docs, gone, {"doc_id": docs["doc_id"]})

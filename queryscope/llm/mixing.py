@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import stored
+from queryscope.llm.common import sendable, stored
 
 #: Fixed pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,10 +50,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     A document of a source with repetition rate target / size is taken floor(rate) times, and once more with the rate's
     fraction as probability, by a hash of its id: reruns agree, and rows that repeat an id fare alike. Null texts have
     size 0; a source without words has target 0 and takes nothing. Sources' sums are combined before the shuffle; what is
-    sent to all tasks is one row a source, joined by whatever strategy its measured size allows.
+    sent to all tasks is one row a source, if their counted number allows it, else they are joined by a shuffle.
     """
     each = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), sizes(text_col).alias("size")), "sizes")
-    goals = targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goals = sendable(stored(targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets"))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     both = each.alias("e").join(goals.alias("g"), F.col("e.source").eqNullSafe(F.col("g.source")))
@@ -61,9 +61,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs`` whatever their names."""
+    """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs`` whatever their names.
+
+    Null texts have no words and fare as their source does; rows that repeat an id fare alike; no rows give none.
+    """
     goals = targets(docs.select(F.col("source").cast("string").alias("source"), sizes().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goals = goals.select(F.col("source").alias("_source"), F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("_rate"))
+    goals = stored(goals.select(F.col("source").alias("_source"), F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("_rate")), "rates")
+    goals = sendable(goals)  # a row for each source; so documents are not dealt out by source
     both = docs.join(goals, docs["source"].cast("string").eqNullSafe(goals["_source"]))
     rate = goals["_rate"]
     copies = (F.floor(rate) + (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")).cast("int")

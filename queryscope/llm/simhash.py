@@ -6,6 +6,7 @@ unequally, by dynamic programming on estimated candidate counts; equal partition
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import hashes, octets, shingle_views, stored
+from queryscope.llm.common import gram_hashes, hashes, octets, sendable, shingle_views, stored, without
 from queryscope.llm.components import components
 
 BITS = 64
@@ -23,16 +24,22 @@ _BLOCK = 8
 _MAX_FLIPS = 1 << 17
 #: MinHash bands and the values in each: a pair of Jaccard similarity 0.8 shares none with probability 1.2e-7.
 _BANDS, _ROWS = 40, 5
+#: Most texts and shingles of a bucket's block; two blocks meet in one task's group.
+_BLOCK_TEXTS, _BLOCK_SHINGLES = 512, 1 << 20
 
 
 def fingerprint_of(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     """A bit is set if it is set in over half of the shingles' XXH64; no words give zero."""
     pieces = shingle_views(words, shingle)
+    return majority(len(pieces), (hashes(pieces[k : k + (1 << 15)], seed) for k in range(0, len(pieces), 1 << 15)))
+
+
+def majority(n: int, blocks) -> int:
+    """The bits that are set in over half of ``n`` hashes, which come in arrays."""
     counts = np.zeros(BITS, np.int64)
-    for k in range(0, len(pieces), 1 << 15):
-        block = hashes(pieces[k : k + (1 << 15)], seed).astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(pieces)).tobytes(), "big")
+    for block in blocks:
+        counts += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,107 +274,211 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, long_bucket: i
     return found.distinct() if split_more else found
 
 
-def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", min_jaccard: float | None = None, verify_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id): smallest id among the documents that links reach, the document itself included.
 
-    Equal fingerprints are collapsed before anything is joined, so a group of copies costs one fingerprint. With
-    ``min_jaccard``, links between fingerprints count only if the texts behind them (those of the smallest id) share that
-    part of their distinct ``verify_words``-word shingles, and texts of so much in common are linked however many bits
-    their fingerprints differ in. Null or wordless texts have fingerprint zero and are linked like others; rows with a
-    null id keep it and do not name components. Repeated rows each give a row.
+    Equal fingerprints are collapsed before anything is joined, so a group of copies costs one fingerprint. Null or
+    wordless texts have fingerprint zero and are linked like others; rows with a null id keep it and do not name
+    components. Repeated rows each give a row; very long texts are read whole, piece by piece; further columns are left out.
     """
     each = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    edges = links(distinct.select("fp"), tau)
-    if min_jaccard is not None:
-        edges = stored(_verified(stored(edges, "links"), distinct, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_jaccard, verify_words), "verified")
-        edges = edges.unionByName(_distant(docs.select(F.col(text_col).alias("text")), components(edges), min_jaccard, shingle, verify_words))
-    labels = components(edges)
+    labels = components(links(distinct.select("fp"), tau))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     names = stored(named.join(least, "label").select("fp", "component_id"), "names")
     return each.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: bytes, words: int) -> np.ndarray:
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, repeats included, from the words' hashes; the whole sequence if it is shorter."""
+    return gram_hashes(words, min(n, len(words))) if len(words) else words
+
+
+def _shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    return np.unique(hashes(shingle_views(text.lower().split(), words))) if text else np.zeros(0, np.uint64)
+    return np.unique(_grams(hashes(text.lower().split()), n))
+
+
+def _name(shingles: np.ndarray) -> str:
+    """A 128-bit name of a set of shingles: texts of one name have the similarity 1."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
 def band_keys(shingles: np.ndarray, bands: int = _BANDS, rows: int = _ROWS) -> np.ndarray:
     """A key for each band of MinHash values; sets of Jaccard similarity j agree on one with probability j ** rows."""
-    mix = np.random.default_rng(7).integers(0, 1 << 64, (3, bands * rows), dtype=np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 1 << 12):
-        h = shingles[None, k : k + (1 << 12)] ^ mix[0][:, None]
-        h *= mix[1][:, None] | np.uint64(1)
+    rng = np.random.default_rng(7)
+    flip, times = (rng.integers(0, 1 << 32, (bands * rows, 1), dtype=np.uint32) for _ in range(2))
+    mix = rng.integers(0, 1 << 64, bands * rows, dtype=np.uint64) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), 1 << 12):
+        h = short[None, k : k + (1 << 12)] ^ flip
+        h *= times | np.uint32(1)
         least = np.minimum(least, h.min(axis=1))
-    return ((least ^ (least >> np.uint64(29))) * (mix[2] | np.uint64(1))).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
+    wide = (least.astype(np.uint64) + np.uint64(1)) * mix
+    return ((wide ^ (wide >> np.uint64(29))) * mix).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
 
 
-def _distant(docs: DataFrame, labels: DataFrame, least: float, shingle: int, words: int) -> DataFrame:
-    """Edges (u, v of fingerprints) between components of ``labels``: texts of at least the Jaccard similarity ``least``.
+def _sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, text_key, node, fp, n, bands) of (doc_id, text): one pass over the texts, one text at a time."""
+    schema = pa.schema([("node", pa.string()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
-    All distinct texts that agree on a band of MinHash values are compared, but for those that a component holds
-    already; a pair that several bands find comes from the first of them alone.
-    """
+    def sketch(text: bytes) -> tuple:
+        h = hashes(text.lower().split())
+        grams, s = _grams(h, shingle), np.unique(_grams(h, words))
+        fp = majority(len(grams), (grams[k : k + (1 << 15)] for k in range(0, len(grams), 1 << 15)))
+        return _name(s), fp - (1 << 64) if fp >> 63 else fp, len(s), band_keys(s).view(np.int64) if len(s) else []
 
     def run(batches):
         for b in batches:
-            texts = octets(b.column(1))
-            sets = [_shingles(t, words) for t in texts]
-            fps = np.array([fingerprint_of(t.lower().split(), shingle) for t in texts], np.uint64).view(np.int64)
-            keys = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "n", "bands"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = list(zip(*map(sketch, octets(part.column(2))), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, f.type) for x, f in zip(found, schema, strict=True)]], names=["doc_id", "text_key", *schema.names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _text_key("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node string, fp long, n long, bands array<long>")
+
+
+def _text_key(column: str):
+    return F.xxhash64(F.coalesce(column, F.lit("")))
 
-    def shingled(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingles(t, words).view(np.int64) for t in octets(b.column(1))], pa.list_(pa.int64()))], names=["node", "s"])
-
-    docs = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    sketched = docs.mapInArrow(run, "node long, fp long, n int, bands array<long>").dropDuplicates(["node"])
-    nodes = stored(sketched.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "nodes")
-    rows = nodes.select("node", "label", F.posexplode("bands").alias("band", "key"))
-    keys = ["band", "key"]
-    several = rows.groupBy(*keys).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*keys)
-    shared = stored(rows.drop("label").join(several, keys).join(nodes, "node"), "shared")
-    a, b = shared.alias("a"), shared.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    on += [F.col("a.node") < F.col("b.node"), F.col("a.label") != F.col("b.label"), F.least("a.n", "b.n") + 1e-9 >= least * F.greatest("a.n", "b.n")]
-    on.append(F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.col("a.band") + 1)
-    pairs = stored(a.join(b, on).select(F.col("a.node").alias("p"), F.col("b.node").alias("q"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")), "distant")
-    ends = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("q").alias("node"))).distinct()
-    sets = stored(docs.join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(shingled, "node long, s array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("p"), F.col("s").alias("sp")), "p").join(sets.select(F.col("node").alias("q"), F.col("s").alias("sq")), "q")
-    common = F.size(F.array_intersect("sp", "sq"))
-    return both.where(common >= least * (F.size("sp") + F.size("sq") - common)).select("u", "v")
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(nid, s array of hashes) of the ``wanted`` (nid, node, doc_id, text_key), from the texts.
 
-def _verified(edges: DataFrame, distinct: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
-    """Edges whose texts have at least the Jaccard similarity ``least`` of distinct shingles."""
+    A text that only shares the key is passed over. A document that is repeated gives its set as often, which does no harm.
+    """
 
     def run(batches):
         for b in batches:
-            sets = [_shingles(t, words).view(np.int64) for t in octets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+            for nid, node, text in zip(b.column(0), b.column(1).to_pylist(), octets(b.column(2)), strict=True):
+                s = _shingles(text, words)
+                if _name(s) == node:
+                    yield pa.RecordBatch.from_arrays([pa.array([nid.as_py()]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["nid", "s"])
+
+    d, w = docs.select("doc_id", _text_key("text").alias("text_key"), "text"), sendable(wanted)
+    texts = d.join(w, (d["text_key"] == w["text_key"]) & d["doc_id"].eqNullSafe(w["doc_id"]))
+    return texts.select("nid", "node", "text").mapInArrow(run, "nid long, s array<long>")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of all pairs of sets: rare elements pair by pair, frequent ones as products of matrices."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(tokens)))
+    total = np.zeros((m, m), np.float32)
+    for c in range(2, 8):
+        own = owner[starts[counts == c][:, None] + np.arange(c)[None, :]]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(total, (own[:, i], own[:, j]), 1)
+                np.add.at(total, (own[:, j], own[:, i]), 1)
+    often = np.flatnonzero(counts >= 8)
+    for k in range(0, len(often), 2048):
+        part = often[k : k + 2048]
+        held = np.zeros((m, len(part)), np.float32)
+        at = np.repeat(starts[part] - np.concatenate(([0], np.cumsum(counts[part])[:-1])), counts[part]) + np.arange(counts[part].sum())
+        held[owner[at], np.repeat(np.arange(len(part)), counts[part])] = 1
+        total += held @ held.T
+    return total
+
+
+def joined_labels(nids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges that join the labels of sets with at least the Jaccard similarity ``least``: a tree of each group, not its pairs."""
+    n = np.array([len(s) for s in sets], np.float32)
+    common = _overlaps(sets)
+    alike = common + 1e-3 >= least * (n[:, None] + n[None, :] - common)
+    alike |= labels[:, None] == labels[None, :]
+    np.fill_diagonal(alike, True)
+    group, old = np.arange(len(n)), None
+    while old is None or (group != old).any():
+        old = group
+        group = np.where(alike, group[None, :], len(n)).min(axis=1)
+    first: dict[tuple[int, int], int] = {}
+    for k, (g, x) in enumerate(zip(group.tolist(), labels.tolist(), strict=True)):
+        first.setdefault((g, x), k)
+    return [(int(nids[g]), int(nids[k])) for (g, x), k in first.items() if x != labels[g]]
+
+
+def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) between the labels of texts that share a bucket (key, nid, n) and have the Jaccard similarity ``least``.
+
+    Of each bucket with several labels, those texts that do not bear its commonest label are dealt into blocks that meet
+    each other and the blocks of the commonest label, so its own texts are not compared among themselves. A block holds
+    about 512 texts and a million shingles; a group of two blocks is one task's unit of work and returns a tree's edges.
+    """
+    rows = shared.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    marks = [F.bit_xor(F.xxhash64("nid", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m"), *marks)
+    most = F.struct("c", "label", "m")
+    per = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"), F.sum("m").alias("m"), F.max(most).alias("main"), *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in range(2)]).where("kinds > 1")
+    #: copies agree on many bands: of buckets with the same texts one is enough
+    per = per.groupBy("c", "m", "x0", "x1", "main").agg(F.min("key").alias("key"))
+
+    def blocks(texts, shingles):
+        return F.greatest(F.ceil(texts / F.lit(_BLOCK_TEXTS)), F.ceil(shingles / F.lit(_BLOCK_SHINGLES)), F.lit(1)).cast("int")
+
+    per = per.select("key", F.col("main.label").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("m") - F.col("main.m")).alias("other"), blocks(F.col("main.c"), F.col("main.m")).alias("mains"))
+    own = F.col("label") != F.col("main")
+    dealt = rows.join(per, "key").withColumn("b", F.pmod(F.xxhash64("nid", "key"), F.when(own, F.col("other")).otherwise(F.col("mains"))).cast("int"))
+    meets = F.when(own, F.transform(F.sequence(F.lit(0), F.col("other") + F.col("mains") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j"))))
+    meets = meets.otherwise(F.transform(F.sequence(F.lit(0), F.col("other") - 1), lambda x: F.struct(x.alias("i"), (F.col("other") + F.col("b")).alias("j"))))
+    groups = dealt.select("key", "nid", "label", F.explode(meets).alias("at")).select("key", "at.i", "at.j", "nid", "label").join(sets, "nid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nids, labels, column = table.column("nid").to_numpy(), table.column("label").to_numpy(), table.column("s").combine_chunks()
+        found = joined_labels(nids, labels, [column[k].values.to_numpy() for k in range(len(nids))], least) if len(set(labels.tolist())) > 1 else []
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return groups.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def similar_texts(docs: DataFrame, tau: int = 5, shingle: int = 3, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key long, component_id) of documents whose distinct ``words``-word shingles have the Jaccard similarity ``least``.
+
+    A node is a distinct set of shingles. SimHash fingerprints within ``tau`` bits propose the first links, which the sets
+    confirm; equal fingerprints are confirmed as well. Copies of similarity 0.8 often differ in more bits than any radius
+    could probe, so texts of different components that share a MinHash band are then compared as sets, all of them but
+    through trees of edges. Texts without words (null, empty, blank) have equal, empty sets: they are one another's
+    copies. ``text_key`` tells repeated ids apart. Null ids do not name components; a component without any other has
+    none. Repeated rows each give a row; an empty table gives none; further columns are left out.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    each = stored(_sketches(docs, shingle, words), "sketches")
+    nodes = each.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # the number holds since it is written
+    wordy = nodes.where("n > 0")
+    heads = stored(wordy.groupBy("fp").agg(F.min("nid").alias("head")), "heads")
+    ends = links(heads.select("fp"), tau).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("p")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("q")), "v").select("p", "q")
+    ends = stored(ends.unionByName(wordy.join(heads, "fp").where("nid <> head").select(F.col("head").alias("p"), F.col("nid").alias("q"))), "links")
+    rows = wordy.select("nid", "n", F.explode("bands").alias("key"))
+    shared = stored(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"), "shared")
+    open_ids = ends.select(F.col("p").alias("nid")).unionByName(ends.select(F.col("q").alias("nid"))).unionByName(shared.select("nid")).distinct()
+    wanted = stored(nodes.join(open_ids, "nid").select("nid", "node", "first.*"), "wanted")
+    sets = stored(_shingle_sets(docs, wanted, words), "shingles")
 
-    ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    wanted = distinct.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
-    sets = docs.join(wanted, "doc_id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(run, "fp long, s array<long>")
-    sets = stored(sets, "shingles")
-    a, b = sets.select(F.col("fp").alias("u"), F.col("s").alias("su")), sets.select(F.col("fp").alias("v"), F.col("s").alias("sv"))
-    both = edges.join(a, "u").join(b, "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common >= least * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    common = F.size(F.array_intersect("sp", "sq"))
+    alike = common >= F.lit(least) * (F.size("sp") + F.size("sq") - common)
+    one = ends.join(sets.select(F.col("nid").alias("p"), F.col("s").alias("sp")), "p")
+    two = sets.select(F.col("nid").alias("r"), F.col("s").alias("sq"))
+    edges = stored(one.join(two, (F.col("q") == F.col("r")) & alike).select(F.col("p").alias("u"), F.col("q").alias("v")), "confirmed")
+    edges = edges.unionByName(stored(_across(shared, sets, components(edges), least), "across"))
+    named = nodes.select("node", "nid", "first_id").join(components(edges).withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    names = named.join(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("node", "component_id")
+    return each.select("doc_id", "text_key", "node").join(stored(names, "names"), "node").select("doc_id", "text_key", "component_id")
 
 
-def dedup(docs: DataFrame, tau: int = 6, shingle: int = 3, min_jaccard: float | None = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id stay.
+def dedup(docs: DataFrame, tau: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component in ``similar_texts``; rows with a null id stay.
 
-    Near copies at similarity 0.8 to 0.85 differ in 6.6 of the 64 bits on average and in over 10 at times (sf0.1), so
-    links within ``tau`` bits find about half of them; bands of MinHash values find the others, and the texts decide.
-    Rows that repeat an id all stay or all go.
+    Of rows that repeat an id, those with equal texts all stay or all go; different texts are judged by themselves.
     """
-    pairs = near_duplicates(docs, tau, shingle, min_jaccard=min_jaccard)
-    gone = pairs.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = similar_texts(docs, tau, least=least)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
+    return without(docs, gone, {"doc_id": docs["doc_id"], "text_key": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})

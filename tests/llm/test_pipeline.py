@@ -14,6 +14,7 @@ from queryscope.llm.common import stored
 from queryscope.llm.queries import table, tokenizer_path
 
 from . import brute
+from .test_simhash import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 STAGE = dict(corpus_pipeline.STAGES)
@@ -33,34 +34,6 @@ def rows(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-def one_of_each(docs, tau=6, least=0.8):
-    """Ids that stay: texts of one fingerprint, and linked ones that share their five-word shingles, keep the smallest id."""
-    texts = {}
-    for d, t in sorted(docs):
-        texts.setdefault(brute.fingerprint(t), []).append((d, t))
-    fps = list(texts)
-    sets = []
-    for f in fps:
-        w = brute.SPACE.findall(brute.lowered(texts[f][0][1]))
-        sets.append({b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set()))
-    parent = list(range(len(fps)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(fps)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if (fps[i] ^ fps[j]).bit_count() <= tau and common >= least * (len(sets[i]) + len(sets[j]) - common):
-                parent[find(i)] = find(j)
-    groups = {}
-    for k, f in enumerate(fps):
-        groups.setdefault(find(k), []).extend(d for d, _ in texts[f])
-    return {min(g) for g in groups.values()}
-
-
 def copies(docs, weights=(5, 2, 1), most=3):
     """(doc_id, source, size) to how often each id is taken: targets by sharing again until nothing is over its limit."""
     sizes = Counter()
@@ -103,7 +76,8 @@ def test_quality_stage_by_labels(spark):
 
 
 def test_near_duplicate_stage(kept):
-    assert Counter(d for d, _ in rows(kept["near_duplicates"])) == Counter(one_of_each(rows(kept["quality"])))
+    """Brute force on five-word shingles, without fingerprints: of each group of similarity 0.8 the smallest id stays."""
+    assert Counter(d for d, _ in rows(kept["near_duplicates"])) == kept_by_brute_force(rows(kept["quality"]))
 
 
 def test_decontamination_stage(spark, kept):

@@ -63,7 +63,7 @@ def test_near_copies_go(spark):
 
 
 def exact_components(texts, least=0.8):
-    """Label by text of the components of equal fingerprints and 5-word Jaccard similarity, without any Hamming limit; the pairs."""
+    """Label by text of the components of 5-word Jaccard similarity, texts without words alike, without any Hamming limit; the pairs."""
     words = [brute.SPACE.findall(brute.lowered(t)) for t in texts]
     sets = [{b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set()) for w in words]
     holders, common = {}, Counter()
@@ -80,8 +80,8 @@ def exact_components(texts, least=0.8):
             x = parent[x]
         return x
 
-    first, fps = {}, [simhash.fingerprint_of(w) for w in words]
-    for i, j in [*pairs, *((first.setdefault(f, k), k) for k, f in enumerate(fps))]:
+    fps, blank = [simhash.fingerprint_of(w) for w in words], [k for k, s in enumerate(sets) if not s]
+    for i, j in [*pairs, *((blank[0], k) for k in blank)]:
         a, b = sorted((find(i), find(j)))
         parent[b] = a
     return [find(k) for k in range(len(texts))], [(i, j, (fps[i] ^ fps[j]).bit_count()) for i, j in pairs]
@@ -94,3 +94,49 @@ def test_dedup_misses_no_pair(spark):
     assert sum(bits > 6 for *_, bits in pairs) > 100
     kept = [r["doc_id"] for r in simhash.dedup(docs).collect()]
     assert sorted(kept) == [d for k, (d, _) in enumerate(rows) if label[k] == k]
+
+
+def kept_by_brute_force(rows):
+    label, _ = exact_components([t for _, t in rows])
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            least[label[k]] = min(least.get(label[k], d), d)
+    return Counter(d for k, (d, _) in enumerate(rows) if d is None or d == least[label[k]])
+
+
+def family(rng, n, length, edits, name):
+    """Near copies of one text: so many words of it changed at random, so that pairs lie on both sides of 0.8."""
+    base = [f"{name}{x}" for x in rng.integers(0, 400, length)]
+    for k in range(n):
+        w = list(base)
+        for at in rng.integers(0, length, rng.integers(0, edits + 1)):
+            w[at] = f"{name}x{rng.integers(0, 10**6)}"
+        yield " ".join(w)
+
+
+def test_families_beyond_a_block(spark, monkeypatch):
+    """Groups of near copies over several blocks, texts of equal fingerprints, repeated ids with different texts, null ids."""
+    monkeypatch.setattr(simhash, "_BLOCK_TEXTS", 7)
+    rng = np.random.default_rng(11)
+    texts = [t for name, length, edits in (("a", 150, 9), ("b", 60, 4), ("c", 30, 3)) for t in family(rng, 60, length, edits, name)]
+    echo = "echo " * 40
+    texts += [echo + " ".join(f"p{k}" for k in range(30)), echo + " ".join(f"q{k}" for k in range(30)), "x", "", "  ", None, "x"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, "alone"), (3, "another text of a repeated id"), (3, "another text of a repeated id"), (500, texts[61])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in simhash.dedup(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_texts_of_one_fingerprint_are_compared(spark):
+    echo = "very much so " * 400
+    a, b = (echo + " ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    assert simhash.fingerprint_of(a.encode().split()) == simhash.fingerprint_of(b.encode().split())
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.dedup(docs).collect()) == [1, 2]
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)] + [np.array([7], np.uint64)]
+    got = simhash._overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(31) for j in range(31) if i != j)
