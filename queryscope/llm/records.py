@@ -15,6 +15,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import open_fs, put, scratch, stored
+from queryscope.llm.common import open_fs, put, putting, scratch, stored
 
 MAGIC = b"QSIDX\x00\x00\x01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
-#: Cached pieces of text in a worker; when full, the cache starts anew.
-_CACHE = 800_000
+#: Cached pieces of text in a worker, of at most so many characters each; when full, the cache starts anew.
+_CACHE, _LONGEST = 800_000, 64
 #: Cached words of pieces in a worker.
 _WORDS = 500_000
 #: Printable ASCII and Latin letters, for which lower-casing goes character by character and normal form C changes nothing.
@@ -139,14 +140,17 @@ class Encoder(dict):
                 found = b"".join(map(self._word, _WORD(low)))
         else:
             found = self._encoded(piece)
-        self[piece] = found
+        if len(piece) <= _LONGEST:
+            self[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
             spelled = word if word.isascii() else word.translate(_SPELLED)
-            found = self.words[word] = b"".join([self.ids[t.id] for t in self.tok.model.tokenize(spelled)])
+            found = b"".join([self.ids[t.id] for t in self.tok.model.tokenize(spelled)])
+            if len(word) <= _LONGEST:
+                self.words[word] = found
         return found
 
 
@@ -161,36 +165,39 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
     """Encode whole texts (null: empty) in ascending id order and write them as shards with indexes.
 
     Returns the manifest (shard int, data string, index string, n_docs long, n_tokens long, first long), one row a
-    shard: range partitions of the id, so that shards follow one another; empty ones write nothing. Null ids come first;
-    rows that repeat an id each give a record. File names are unique to the call, and a repeated task writes the same
+    shard: range partitions of the id and a hash of the text, so that shards follow one another and different texts of one
+    id, or of none, can be dealt to several; empty ones write nothing. Null ids come first; rows that repeat an id each
+    give a record. Records go to the file as they are made; a task keeps its index entries, 25 bytes a record. File names are unique to the call, and a repeated task writes the same
     bytes to the same names. ``tokenizer`` is a path that exists on every machine.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "records")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_per_shard))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id"), F.col("h")).sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches):
         shard, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         end = enc.ids[end_id]
-        data, entries, offset, tokens = [], [], 0, 0
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s in range(0, len(ids), 256):
-                for doc_id, body in zip(ids[s : s + 256], enc.many([t or "" for t in texts[s : s + 256]]), strict=True):
-                    flags = int(doc_id is None)
-                    record = frame(struct.pack("<qBB", doc_id or 0, flags, enc.width) + body + end)
-                    n = (len(body) + len(end)) // enc.width
-                    entries.append((doc_id or 0, flags, offset, n))
-                    data.append(record)
-                    offset += len(record)
-                    tokens += n
-        if entries:
-            table = np.array(entries, ENTRY).tobytes()
-            names = [f"{folder}/shard-{shard:06d}.{x}" for x in ("bin", "idx")]
-            put(names[0], *data)
-            put(names[1], MAGIC, struct.pack("<QI", len(entries), masked(table)), table)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "data": names[0], "index": names[1], "n_docs": len(entries), "n_tokens": tokens, "first": entries[0][0]}], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64())]))
+        names = [f"{folder}/shard-{shard:06d}.{x}" for x in ("bin", "idx")]
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        entries, offset = [], 0
+        with putting(names[0]) as data:
+            for b in chain([first], batches):
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for s in range(0, len(ids), 256):
+                    for doc_id, body in zip(ids[s : s + 256], enc.many([t or "" for t in texts[s : s + 256]]), strict=True):
+                        flags = int(doc_id is None)
+                        record = frame(struct.pack("<qBB", doc_id or 0, flags, enc.width) + body + end)
+                        entries.append(struct.pack("<qBQQ", doc_id or 0, flags, offset, (len(body) + len(end)) // enc.width))
+                        data.write(record)
+                        offset += len(record)
+        table = b"".join(entries)
+        put(names[1], MAGIC, struct.pack("<QI", len(entries), masked(table)), table)
+        held = np.frombuffer(table, ENTRY)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "data": names[0], "index": names[1], "n_docs": len(held), "n_tokens": int(held["n_tokens"].sum()), "first": int(held["doc_id"][0])}], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64())]))
 
     return stored(ordered.mapInArrow(run, "shard int, data string, index string, n_docs long, n_tokens long, first long"), "manifest")
 
@@ -218,7 +225,7 @@ def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     todo = manifest.withColumn("before", before)
-    shards = todo.repartition(max(1, min(todo.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard")
+    shards = todo.repartition(max(1, todo.count()), "shard")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
