@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import octets, open_fs, put, scratch, stored
+from queryscope.llm.common import octets, open_fs, putting, scratch, sendable, stored
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's namespace for URLs
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,45 +68,51 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 100, folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, least_bytes: int = 100, folder: str | None = None, archive_bytes: int = 1 << 30) -> DataFrame:
     """Write one record for each row of ``pages`` (page_id, url, html) and return the manifest (path string, n long).
 
-    Records are made as compressed responses where the rows are read. Only headers (page_id, digest) are shuffled by
-    digest, as grouped minima combined beforehand, so that a payload that a third of all pages share costs one row. Pages
-    with a payload of at least ``least_bytes`` that is not the smallest page_id of its digest become revisits with fresh
-    headers and no body. Null html is an empty payload. Rows that repeat a page_id give a record each: those with the
-    smallest id of a payload are all responses. Null ids are always responses. A missing url becomes a placeholder URI.
+    Revisits are resolved on headers alone: (page_id, digest) are shuffled by digest, as grouped minima combined
+    beforehand, so that a payload that a third of all pages share costs one row. Pages with a payload of at least
+    ``least_bytes`` that is not the smallest page_id of its digest become revisits with fresh headers and no body; what
+    they refer to is joined to the pages where these lie, unless the revisits are too many to send. Records go to the
+    archive as they are made; a task begins a new archive after ``archive_bytes``. Null html is an empty payload. Rows
+    that repeat a page_id give a record each: those with the smallest id of a payload are all responses. Null ids are
+    always responses. A missing url becomes a placeholder URI; further columns are left out.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def make(batches):
+    body = F.coalesce(F.col("html"), F.lit(""))
+    digest = F.sha2(body.cast("binary"), 256)
+    heads = pages.where((F.octet_length(body) >= least_bytes) & F.col("page_id").isNotNull()).select(F.col("page_id").alias("p"), digest.alias("d"))
+    heads = stored(heads, "headers")
+    originals = heads.groupBy("d").agg(F.min("p").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = sendable(stored(heads.join(originals, "d").where("p <> first_id").distinct(), "revisits"))
+    decided = pages.select("page_id", "url", "html", digest.alias("digest"))
+    decided = decided.join(again, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first_id")
+
+    def records(batches) -> Iterator[bytes]:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
-                ids, urls, bodies = part.column(0).to_pylist(), part.column(1).to_pylist(), octets(part.column(2))
-                digests = [hashlib.sha256(x).hexdigest() for x in bodies]
-                records = [response(*x) for x in zip(ids, urls, bodies, digests, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests), pa.array([len(x) for x in bodies], pa.int64()), pa.array(records, pa.binary())], names=["page_id", "url", "digest", "size", "record"])
-
-    made = pages.select("page_id", "url", "html").mapInArrow(make, f"page_id {kind}, url string, digest string, size long, record binary")
-    heads = stored(pages.select("page_id", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("long").alias("size")).where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).drop("size"), "headers")
-    originals = heads.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    again = heads.join(originals, "digest").where("page_id <> first_id").select("page_id", F.col("digest").alias("d"), "first_id").distinct()
-    decided = made.join(again.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "digest", "size", F.when(F.col("first_id").isNull(), F.col("record")).alias("record"), "first_id")
+                ids, urls, bodies, digests, firsts = part.column(0).to_pylist(), part.column(1).to_pylist(), octets(part.column(2)), part.column(3).to_pylist(), part.column(4).to_pylist()
+                for page_id, url, payload, hexed, first_id in zip(ids, urls, bodies, digests, firsts, strict=True):
+                    yield response(page_id, url, payload, hexed) if first_id is None else revisit(page_id, url, hexed, len(payload), first_id)
 
     def write(batches):
-        out, n = [], 0
-        for b in batches:
-            for r in b.to_pylist():
-                out.append(r["record"] if r["first_id"] is None else revisit(r["page_id"], r["url"], r["digest"], r["size"], r["first_id"]))
-                n += 1
-        if out:
-            path = f"{folder}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
+        todo, k = records(batches), 0
+        record = next(todo, None)
+        while record is not None:
+            path = f"{folder}/archive-{TaskContext.get().partitionId():06d}-{k:04d}.warc.gz"
             info = _member(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(path.rpartition("/")[2])), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]) + b"\r\n\r\n")
-            put(path, info, *out)
+            n, size = 0, 0
+            with putting(path) as out:
+                out.write(info)
+                while record is not None and size < archive_bytes:
+                    out.write(record)
+                    n, size = n + 1, size + len(record)
+                    record = next(todo, None)
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
+            k += 1
 
     return stored(decided.mapInArrow(write, "path string, n long"), "archives")
 
@@ -117,7 +123,7 @@ def read_archives(manifest: DataFrame, page_type: str = "long") -> DataFrame:
     A response's digest and size are computed from the payload read; a revisit's are those of its header, which name the
     payload of the response that it refers to.
     """
-    paths = manifest.select("path").repartition(max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "path")
+    paths = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())])
@@ -128,6 +134,9 @@ def read_archives(manifest: DataFrame, page_type: str = "long") -> DataFrame:
                 with fs.open_input_stream(at, compression=None) as f:
                     out = []
                     for head, block in read_archive(f):
+                        if len(out) == 5000:
+                            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                            out = []
                         if head["WARC-Type"] == "warcinfo":
                             continue
                         fields, _, payload = block.partition(b"\r\n\r\n")
@@ -136,7 +145,7 @@ def read_archives(manifest: DataFrame, page_type: str = "long") -> DataFrame:
                         if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError("payload and digest differ")
                         out.append({"page_id": number(head["X-Page-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number(head.get("X-Refers-To-Page")), "target_uri": head["WARC-Target-URI"]})
-                    for k in range(0, len(out), 5000):
-                        yield pa.RecordBatch.from_pylist(out[k : k + 5000], schema=schema)
+                    if out:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return paths.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
