@@ -19,7 +19,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links and the texts confirm, the one with the smallest doc_id stays."""
+    """Of documents that SimHash or MinHash bands bring together and the texts confirm, the one with the smallest doc_id stays.
+
+    Texts without words are copies of one another.
+    """
     return simhash.dedup(docs)
 
 
