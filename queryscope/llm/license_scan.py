@@ -1,7 +1,9 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
-The word of highest IDF in each template's key phrases is indexed with its place; wherever a file holds that word, it
-puts the template's beginning at one place, which counts if the key phrases stand where that beginning puts them.
+The words of highest IDF in each template's key phrases are indexed with their places. Wherever a file holds one of them,
+it puts the template's beginning at one place; where all indexed words of a template agree on a beginning, the postings
+intersect, and it counts if the key phrases stand where that beginning puts them. Key phrases are mandatory, so that
+intersection loses nothing.
 """
 
 from __future__ import annotations
@@ -40,8 +42,18 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights cc0", ("waived all copyright",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("express or implied warranty", "authors be held liable")),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining", "accompanying documentation covered")),
+    ("wtfpl", "do what the fuck you want to public license", ("what the fuck you want",)),
+    ("artistic-2.0", "the artistic license 2 0 everyone is permitted to copy and distribute verbatim copies of this license document", ("artistic license",)),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("except in compliance with the license", "applicable law or agreed to in writing")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("deal in the software without restriction", "copies or substantial portions")),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("published by the free software foundation", "merchantability or fitness for a particular purpose")),
     ("proprietary", "confidential and proprietary unauthorized copying of this file is strictly prohibited", ("strictly prohibited",)),
 )
+#: Most words that the index holds of a template.
+_RARE = 3
 #: Fixed words that are too common to index.
 COMMON = ("a", "all", "and", "any", "are", "by", "can", "for", "form", "has", "in", "into", "is", "it", "made", "of", "or", "person", "related", "that", "the", "this", "to", "use", "with", "without", "you", "0", "2", "3", "4", "v")
 #: What base phrases are found by, though the templates do not index it.
@@ -63,9 +75,13 @@ def _templates():
     return F.array(*rows)
 
 
-def _anchors(ranked: list[str]) -> dict[str, list[int]]:
-    """The positional index: of each template the first of ``ranked`` in its key phrases, with the codes of a beginning at 0."""
+def _anchors(ranked: list[str]) -> tuple[dict[str, list[int]], list[int]]:
+    """The positional index, from each word to the codes of a beginning at 0, and how many words it holds of each template.
+
+    Of each template these are the first of ``ranked`` in its key phrases, each at its first place there.
+    """
     index: dict[str, list[int]] = {}
+    held = []
     for tpl, (_, text, phrases) in enumerate(TEMPLATES):
         words, places = text.split(), {}
         for p in (p.split() for p in phrases):
@@ -73,9 +89,11 @@ def _anchors(ranked: list[str]) -> dict[str, list[int]]:
             for k, w in enumerate(p):
                 if w not in COMMON:
                     places.setdefault(w, at + k)
-        word = min(places, key=ranked.index)
-        index.setdefault(word, []).append(tpl * _SPAN - places[word])
-    return index
+        chosen = sorted(places, key=ranked.index)[:_RARE]
+        for word in chosen:
+            index.setdefault(word, []).append(tpl * _SPAN - places[word])
+        held.append(len(chosen))
+    return index, held
 
 
 def _postings(index: dict[str, list[int]]):
@@ -115,11 +133,20 @@ def ranked_words(docs: DataFrame, text_col: str = "text") -> list[str]:
     return sorted(_vocabulary(), key=lambda w: (df.get(w, 0), w))
 
 
-def _accepted(words, top, postings, least_share: float):
+def _accepted(words, top, postings, held: list[int], least_share: float):
     """Column: array of (label, share) of the templates that the file's indexed words ``top`` lead to and its words bear out."""
     pairs = F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("word"), i.cast("long").alias("pos"))))
     codes = F.flatten(F.transform(F.array_compact(pairs), lambda x: F.transform(F.element_at(postings, x["word"]), lambda p: p + x["pos"])))
 
+    needed = F.array(*map(F.lit, held))
+
+    def agreed(found):
+        """The codes that occur as often as their template has indexed words, each once: sorted, equal ones stand together."""
+        size = lambda code: F.get(needed, F.floor((code + F.lit(_SPAN // 2)) / F.lit(_SPAN)).cast("int"))
+        return F.array_distinct(F.filter(found, lambda code, i: F.coalesce(F.get(found, i + size(code) - 1) == code, F.lit(False))))
+
+    codes = _let(F.array_sort(codes), agreed)
+
     def tried(code):
         tpl = F.floor((code + F.lit(_SPAN // 2)) / F.lit(_SPAN)).cast("int")
         start = (code - tpl.cast("long") * F.lit(_SPAN)).cast("int")
@@ -149,9 +176,9 @@ def scan(docs: DataFrame, least_share: float = 0.6, id_col: str = "doc_id", text
     cut = cut.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, ranked)), "words").alias("lic"))
     none = F.array().cast("array<int>")
     found = [F.when(F.array_contains("lic", next(w for w in p.split() if w in (*_ANCHORS, "reserved", "license"))), _places(F.col("words"), p)).otherwise(none).alias(f"b{k}") for k, (p, _) in enumerate(BASE)]
-    index = _anchors(ranked)
+    index, held_words = _anchors(ranked)
     top = F.array_intersect(F.array(*map(F.lit, sorted(index))), F.col("lic"))
-    accepted = _let(top, lambda t: F.when(F.size(t) > 0, _accepted(F.col("words"), t, _postings(index), least_share)))
+    accepted = _let(top, lambda t: F.when(F.size(t) > 0, _accepted(F.col("words"), t, _postings(index), held_words, least_share)))
     held = cut.select("doc_id", "n_words", *found, accepted.alias("more"))
 
     every = F.flatten(F.array(*[F.col(f"b{k}") for k in range(len(BASE))]))

@@ -97,26 +97,68 @@ def test_license_labels(spark):
 
 
 def test_licenses_of_files_with_several_notices(spark):
-    """All labels of all beginnings, tried one by one, whatever else a file holds."""
+    """All labels and the score of all beginnings, tried one by one, whatever else a file holds."""
     rng = np.random.default_rng(5)
     forms = [text for _, text, _ in license_scan.TEMPLATES]
-    texts = [forms[0] + " foo bar " + forms[4], forms[3] + " foo bar " + forms[6], " foo ".join(forms), " ".join(reversed(forms)), *forms]
+    one_line = {label: text for label, text, _ in reversed(license_scan.TEMPLATES)}
+    six = " ".join(one_line[x] for x in ("mit", "bsd", "isc", "cc0", "mpl-2.0", "epl-2.0"))
+    texts = [forms[0] + " foo bar " + forms[4], forms[3] + " foo bar " + forms[6], six, " foo ".join(forms), " ".join(reversed(forms)), *forms]
     for _ in range(60):
         words = " filler words ".join(forms[k] for k in rng.integers(0, len(forms), rng.integers(2, 9))).split()
         texts.append(" ".join(w if rng.random() > 0.04 else "changed" for w in words))
 
-    def labels(text):
-        w, out = text.split(), set()
+    def judged(text):
+        w, out, best = text.split(), set(), 0.0
         for label, form, phrases in license_scan.TEMPLATES:
             t = form.split()
             places = [next(i for i in range(len(t)) if t[i : i + len(p)] == p) for p in (p.split() for p in phrases)]
             for s in range(-len(t), len(w)):
-                keys = all(s + at >= 0 and w[s + at : s + at + len(p.split())] == p.split() for at, p in zip(places, phrases, strict=True))
-                if keys and sum(0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(t)) >= 0.6 * len(t):
-                    out.add(label)
+                if all(s + at >= 0 and w[s + at : s + at + len(p.split())] == p.split() for at, p in zip(places, phrases, strict=True)):
+                    share = sum(0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(t)) / len(t)
+                    if share >= 0.6:
+                        out.add(label)
+                        best = max(best, share)
         base = brute.base_license(text)[-1]
-        return ",".join(sorted(out | set(base.split(",")) - {""}))
-
-    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {k: labels(t) for k, t in enumerate(texts)}
-    assert got[0] == "apache-2.0,mit" and got[1] == "bsd,mit"
+        return ",".join(sorted(out | set(base.split(",")) - {""})), max(best, 0.5 if base else 0.0)
+
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got, want = {r["doc_id"]: (r["labels"], r["score"]) for r in found}, {k: judged(t) for k, t in enumerate(texts)}
+    assert {k: x for k, (x, _) in got.items()} == {k: x for k, (x, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert got[0][0] == "apache-2.0,mit" and got[1][0] == "bsd,mit" and got[2][0] == "bsd,cc0,epl-2.0,isc,mit,mpl-2.0"
+
+
+def test_language_model_by_brute_force(spark):
+    """Counts, smoothing and posterior recomputed gram by gram; texts longer than a chunk."""
+    rng = np.random.default_rng(6)
+    texts = [("abc Äbc " * 3, "x"), ("bcd, bcd!", "y"), ("A" + "bc d" * 300_000, "x"), ("zz", None), ("cab", "y"), ("", "x")]
+    texts += [("".join(rng.choice(list("abcd e"), 60)), "xyz"[k % 3]) for k in range(12)]
+    bits, columns = 10, 1 << 10
+
+    def buckets(text):
+        clean = b" " + b" ".join(bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode()).split()) + b" "
+        for n in range(1, 5):
+            windows = Counter(clean[i : i + n] for i in range(len(clean) - n + 1))
+            for gram, count in windows.items():
+                h = 0
+                for c in gram:
+                    h = (h * 0x100000001B3 + c + 1) % (1 << 64)
+                yield ((h + n) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits), count
+
+    langs = ["x", "y", "z"]
+    counts, n = np.full((3, columns), 0.1), np.zeros(3)
+    for text, lang in texts:
+        if lang:
+            n[langs.index(lang)] += 1
+            for b, c in buckets(text):
+                counts[langs.index(lang), b] += c
+    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in langid.identify(df, langid.fit(df, bits=bits)).collect():
+        text = texts[r["doc_id"]][0]
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        z = np.log(n / n.sum()) + sum(logp[:, b] * c for b, c in buckets(text))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["lang_pred"] == langs[int(z.argmax())] and abs(r["score"] - p.max()) < 1e-6
