@@ -28,7 +28,8 @@ _UNMIX = tuple(np.uint64(pow(x, -1, 1 << 64)) for x in (_A, _B))
 #: Tokens handled at once.
 _CHUNK = 1 << 19
 _MAPPED: dict[str, np.ndarray] = {}
-#: A word's columns: its count, how many words follow it once, twice and oftener, how many precede it.
+#: A word's columns: its count, how many words follow it once, twice and oftener, how many precede it; all but the first
+#: count words, of which there are fewer than 2**32.
 _COLUMNS = {"cnt": np.int64, "one": np.uint32, "two": np.uint32, "more": np.uint32, "cont": np.uint32}
 
 
@@ -108,22 +109,25 @@ def _merged(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mapped(uri: str, kind) -> np.ndarray:
-    """A memory-mapped array of the shared folder; from a store that cannot be mapped, a copy is made once a worker."""
+    """A memory-mapped array of the shared folder; of a store that cannot be mapped, a nameless copy that ends with the worker."""
     if uri not in _MAPPED:
         fs, path = open_fs(uri)
         if not uri.startswith("file:"):
-            with tempfile.NamedTemporaryFile(delete=False) as local, fs.open_input_stream(path) as f:
+            with tempfile.TemporaryFile() as local, fs.open_input_stream(path) as f:
                 shutil.copyfileobj(f, local)
-            path = local.name
-        _MAPPED[uri] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+                local.flush()
+                _MAPPED[uri] = np.memmap(local, kind, "r") if local.tell() else np.zeros(0, kind)
+        else:
+            _MAPPED[uri] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
     return _MAPPED[uri]
 
 
 class Arrays:
     """Sorted key ranges with columns beside them; ``find`` gives the global place of each key, or -1."""
 
-    def __init__(self, folder: str, name: str, lengths: list[int]):
-        self.folder, self.name, self.lengths = folder, name, lengths
+    def __init__(self, folder: str, name: str, lengths: list[int], wide: frozenset[int] = frozenset()):
+        """``wide``: the ranges whose counts take 64 bits."""
+        self.folder, self.name, self.lengths, self.wide = folder, name, lengths, wide
         self.offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
 
     def part(self, b: int, column: str, kind) -> np.ndarray:
@@ -142,10 +146,10 @@ class Arrays:
 
     def take(self, places: np.ndarray, column: str, kind) -> np.ndarray:
         """Values at sorted global places."""
-        out = np.zeros(len(places), kind)
+        out = np.zeros(len(places), np.int64)
         cuts = np.searchsorted(places, self.offsets)
         for b in np.flatnonzero(np.diff(cuts)):
-            out[cuts[b] : cuts[b + 1]] = self.part(b, column, kind)[places[cuts[b] : cuts[b + 1]] - self.offsets[b]]
+            out[cuts[b] : cuts[b + 1]] = self.part(b, column, np.uint64 if b in self.wide else kind)[places[cuts[b] : cuts[b + 1]] - self.offsets[b]]
         return out
 
 
@@ -295,21 +299,22 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
     def write_pairs(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         keys, values = _merged(table, 1)
+        wide = bool(values.max() >> 32)
         put(f"{folder}/pair-{b:06d}.key", keys.tobytes())
-        put(f"{folder}/pair-{b:06d}.cnt", np.minimum(values[:, 0], (1 << 32) - 1).astype(np.uint32).tobytes())
-        return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "by_count": pa.array([_by_count(values[:, 0])], pa.list_(pa.int64()))})
+        put(f"{folder}/pair-{b:06d}.cnt", values[:, 0].astype(np.uint64 if wide else np.uint32).tobytes())
+        return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "wide": [wide], "by_count": pa.array([_by_count(values[:, 0])], pa.list_(pa.int64()))})
 
-    pair_rows = stored(texts.mapInArrow(count_pairs, _BLOB).groupBy("bucket").applyInArrow(write_pairs, "bucket int, n long, by_count array<long>"), "pair-ranges")
+    pair_rows = stored(texts.mapInArrow(count_pairs, _BLOB).groupBy("bucket").applyInArrow(write_pairs, "bucket int, n long, wide boolean, by_count array<long>"), "pair-ranges")
     found = pair_rows.collect()
     lengths = {r["bucket"]: r["n"] for r in found}
-    pairs = Arrays(folder, "pair", [lengths.get(b, 0) for b in range(buckets)])
+    pairs = Arrays(folder, "pair", [lengths.get(b, 0) for b in range(buckets)], frozenset(r["bucket"] for r in found if r["wide"]))
 
     def contexts(batches):
         """For each pair range: numbers of once, twice and oftener by first word, contexts by second word."""
         adder = Adder(4)
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                keys, counts = pairs.part(b, "key", np.uint64), pairs.part(b, "cnt", np.uint32)
+                keys, counts = pairs.part(b, "key", np.uint64), pairs.part(b, "cnt", np.uint64 if b in pairs.wide else np.uint32)
                 for s in range(0, len(keys), _CHUNK):
                     raw, c = unmix(np.asarray(keys[s : s + _CHUNK])), np.asarray(counts[s : s + _CHUNK]).astype(np.int64)
                     v = np.zeros((len(c), 4), np.int64)
@@ -342,7 +347,8 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text; null counts as empty.
 
-    Scores are sums of log10 probabilities over the words and one end. Repeated rows each give a row.
+    Scores are sums of log10 probabilities over the words and one end. Repeated rows each give a row; further columns,
+    whatever their names, are left out; very long texts are scored whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
