@@ -36,6 +36,25 @@ def pairs(serp: DataFrame, depth: int = 10, least: int = 1) -> DataFrame:
     return both.select("i", "j", "common", F.round(1 - F.col("common") / depth, 6).alias("dist"))
 
 
+def vectors(ranking: DataFrame, key: str = "item") -> DataFrame:
+    """(query_id, pos, item): rankings as vectors of any key, ids or hosts; a key may stand at several places."""
+    return ranking.select("query_id", "pos", F.col(key).alias("item"))
+
+
+def repeated_pairs(ranking: DataFrame, depth: int = 10) -> DataFrame:
+    """(i, j, common, dist) of i < j where keys may repeat: how many places of j hold a key that i holds."""
+    held = ranking.select(F.col("query_id").alias("i"), "item").distinct()
+    places = ranking.groupBy(F.col("query_id").alias("j"), "item").agg(F.count(F.lit(1)).alias("n"))
+    both = held.join(places, "item").where("i < j").groupBy("i", "j").agg(F.sum("n").alias("common"))
+    return both.select("i", "j", "common", F.round(1 - F.col("common") / depth, 6).alias("dist"))
+
+
+def quality(placed: DataFrame, pair_table: DataFrame) -> DataFrame:
+    """One row (quality): the summed distance of all objects of (obj_id, centre) to their centres."""
+    away = placed.where("obj_id <> centre").select(F.least("obj_id", "centre").alias("i"), F.greatest("obj_id", "centre").alias("j"))
+    return away.join(pair_table.select("i", "j", "dist"), ["i", "j"], "left").agg(F.round(F.coalesce(F.sum(F.coalesce("dist", F.lit(1.0))), F.lit(0.0)), 6).alias("quality"))
+
+
 def least_common(level: float, depth: int = 10) -> int:
     """The number of common items that a distance of at most ``level`` takes; integers compare exactly."""
     return max(1, int(np.ceil(depth * (1 - level) - 1e-9)))

@@ -245,19 +245,33 @@ def missing_words(zones: DataFrame, peers: DataFrame, more_than: int = 7, stop_w
     return peers.join(usual, "grp").join(own, ["doc_id", "term"], "left_anti").select("doc_id", "term")
 
 
+def function_words(form: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Whether a token is a stop word or no word at all; parts of speech need a dictionary, which the stop list stands for."""
+    return ~form.rlike(r"^[\p{L}\p{N}_]") | form.isin(*stop_words)
+
+
 def colorize(zones: DataFrame, freq: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(doc_id, pos, form, color): stop words and punctuation black, unknown terms red, others the greener the commoner."""
+    """(doc_id, pos, form, color, title): stop words and punctuation black, unknown terms red, others the greener the commoner.
+
+    The title is the frequency and the lemma, or the lemma alone.
+    """
     known = stored(freq.select("term", "tf"), "frequencies")
     most = known.agg(F.max("tf").alias("most"))
     t = all_tokens(zones).join(sendable(known), "term", "left").join(F.broadcast(most))  # one row
     g = F.round(100 + 155 * F.col("tf") / F.col("most"), 0).cast("int")
-    plain = ~F.col("form").rlike(r"^[\p{L}\p{N}_]") | F.col("form").isin(*stop_words)
+    plain = function_words(F.col("form"), stop_words)
     color = F.when(plain, "#010101").when(F.col("tf").isNull(), "#ff0000").otherwise(F.format_string("#%02x%02x00", 255 - g, g))
-    return t.select("doc_id", "pos", "form", color.alias("color"))
+    title = F.when(plain | F.col("tf").isNull(), F.col("term")).otherwise(F.concat(F.col("tf").cast("string"), F.lit(".0000 "), F.col("term")))
+    return t.select("doc_id", "pos", "form", color.alias("color"), title.alias("title"))
 
 
 def colored_html(colored: DataFrame) -> DataFrame:
     """(doc_id, html): the coloured words of each document in order."""
-    word = F.concat(F.lit("<font color="), F.col("color"), F.lit(">"), F.col("form"), F.lit("</font>"))
+    word = F.concat(F.lit("<font color = "), F.col("color"), F.lit(" title = "), F.col("title"), F.lit(">"), F.col("form"), F.lit("</font>"))
     rows = colored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
     return rows.select("doc_id", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("html"))
+
+
+def most_common(freq: DataFrame, top: int = 20, by: str = "df") -> DataFrame:
+    """The ``top`` terms of (term, tf, df), ties by term."""
+    return freq.orderBy(F.desc(by), "term").limit(top)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryscope.functions import ranking, text
+from queryscope.functions import ranking, text, urls
 from queryscope.operators import cluster, page_features, readability, terms
 from queryscope.plans import pipelines
 from queryscope.sources import fixtures, snippets, store
 from queryscope.sources.fixtures import load
 from queryscope.sources.shared import spread, stored
+from queryscope.streaming import snapshots
 
 #: Ranking queries of the index operators: a parameter list of (query_id, term as written).
 QUERY_LIST = ((1, ("rewh", "orantion", "inoran")), (2, ("thing", "thin", "ther", "thon")), (3, ("auf",)), (4, ("thble", "nowhere")))
@@ -117,8 +118,8 @@ select query_id, pos, url_id, title, record_date from r where query_id in (selec
 def serp_fresh_read(spark, sf):
     items = _serp(spark, sf).withColumnRenamed("item", "url_id")
     known = load(spark, sf, "events").where("user_id is not null").groupBy(F.col("user_id").alias("query_id")).agg(F.to_date(F.max("ts")).alias("record_date"))
-    urls = load(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("url_id"), F.col("p_name").alias("title"))
-    return store.read_fresh(items, known, urls, known.agg(F.max("record_date").alias("today")))
+    known_urls = load(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("url_id"), F.col("p_name").alias("title"))
+    return store.read_fresh(items, known, known_urls, known.agg(F.max("record_date").alias("today")))
 
 
 @query(f"""with {SERP}, {STRICT}, b as (select *, 1 as version from strict union all select *, 2 from serp where query_id % 2 = 0)
@@ -226,6 +227,90 @@ def query_volumes(spark, sf):
     return fixtures.query_volumes(q, v).select(F.col("query").cast("long").alias("item_id"), "volume")
 
 
+@query(f"with {SERP} select query_id, string_agg(item::varchar, ',' order by pos) as items from serp group by 1")
+def ranking_projection(spark, sf):
+    return fixtures.projections(_serp(spark, sf)).select("query_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+@query(f"with {SERP} select distinct item from serp")
+def space_basis(spark, sf):
+    return fixtures.space_basis(_serp(spark, sf))
+
+
+@query(f"with {SERP}, {STRICT} select t.query_id, count(s.item)::int as common from strict t left join serp s on s.query_id = t.query_id and s.item = t.item group by 1")
+def overlap_count(spark, sf):
+    a, b = fixtures.projections(_serp(spark, sf)), fixtures.projections(_serp(spark, sf, True)).withColumnRenamed("items", "strict")
+    return a.join(b, "query_id").select("query_id", ranking.common_items(F.col("items"), F.col("strict")).alias("common"))
+
+
+@query(f"""with {SERP}, g as (select query_id, unnest(generate_series(1, 12))::int as pos from (select distinct query_id from serp))
+select g.query_id, g.pos, case when s.item is null or s.item % 3 = 0 then '' else 'http://site' || item || '.example/p' end as url from g left join serp s using (query_id, pos)""")
+def ranking_gaps(spark, sf):
+    """Places that a service leaves out come back empty, up to the depth asked for."""
+    item = F.struct(F.col("pos").alias("position"), F.lit(0).alias("www"), F.concat(F.lit("site"), F.col("item").cast("string"), F.lit(".example")).alias("domain"), F.lit("p").alias("path"))
+    data = F.filter(F.collect_list(F.when(F.col("item") % 3 != 0, item)), lambda x: x.isNotNull())
+    payload = _serp(spark, sf).groupBy("query_id").agg(F.to_json(F.struct(F.lit(0).alias("status"), data.alias("data"))).alias("payload"))
+    return fixtures.ranking_json(payload, depth=12).select("query_id", "pos", "url")
+
+
+_HOSTED = f"{SERP}, hv as (select query_id, pos, {_HOST} as item from serp join pages on page_id = item)"
+
+
+def _host_vectors(spark, sf):
+    rows = _serp(spark, sf).join(_page_items(spark, sf), F.col("page_id") == F.col("item"))
+    return cluster.vectors(rows, "host")
+
+
+@query(f"with {_HOSTED} select * from hv")
+def host_vectors(spark, sf):
+    return _host_vectors(spark, sf)
+
+
+@query(f"with {_HOSTED} select a.query_id as i, b.query_id as j, count(*) as common, round(1 - count(*) / 10.0::double, 6) as dist from (select distinct query_id, item from hv) a join hv b on a.item = b.item and a.query_id < b.query_id group by 1, 2")
+def host_pairs(spark, sf):
+    return cluster.repeated_pairs(_host_vectors(spark, sf))
+
+
+@query(f"""with {SERP}, r as (select query_id, pos, url, {_HOST} as domain, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from serp join pages on page_id = item)
+select domain, count(*) as urls from (select distinct url, domain from r) group by 1""")
+def serp_write_through(spark, sf):
+    """A fresh store takes up rankings: how many urls each new domain has."""
+    rows = _serp(spark, sf).join(_page_items(spark, sf), F.col("page_id") == F.col("item")).select("query_id", "pos", "url", F.col("host").alias("domain"), "title")
+    none = spark.createDataFrame([], "url_id long, url string, title string, domain_id long")
+    _, found, domains = store.write_through(rows, none, spark.createDataFrame([], "id long, domain string"))
+    return found.join(domains, F.col("domain_id") == F.col("id")).groupBy("domain").agg(F.count(F.lit(1)).alias("urls"))
+
+
+@query(r"select page_id, regexp_replace(url, '^(http://)?(https://)?(www\.)?', '') as plain, regexp_extract(url, '^(https?://)?', 1) || replace(url_encode(regexp_replace(url, '^(https?://)?', '')), '%2F', '/') as quoted from pages")
+def url_forms(spark, sf):
+    return load(spark, sf, "pages").select("page_id", urls.cut_prefix(F.col("url")).alias("plain"), urls.quote(F.col("url")).alias("quoted"))
+
+
+@query(r"select doc_id, t as text, length(t)::int as text_length from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\s*\n\s*', E'\n', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') as t from documents)")
+def squeeze_text(spark, sf):
+    t = text.squeeze(F.col("text"))
+    return spread(load(spark, sf, "documents")).select("doc_id", t.alias("text"), F.length(t).alias("text_length"))
+
+
+@query("""select date_trunc('day', ts)::timestamp as start, user_id as query_id, (props->>'k')::int as item, round(sum(value), 6) as weight from events group by 1, 2, 3""")
+def stream_weights(spark, sf):
+    """Daily weights of items by a stream over the events that are there now."""
+    schema = load(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"), "value")
+    out = snapshots.run_once(snapshots.windowed_weights(rows), "weights")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "query_id", "item", F.round("weight", 6).alias("weight"))
+
+
+@query("select distinct user_id as query_id, (props->>'k')::int as item from events")
+def stream_distinct(spark, sf):
+    """Each (query, item) once, late repeats dropped within the watermark's bounded state."""
+    schema = load(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"))
+    return snapshots.run_once(snapshots.distinct_snapshots(rows, delay="3650 days"), "distinct", "append").select("query_id", "item")
+
+
 # --- terms -----------------------------------------------------------------------------------------------------------
 
 _TOK = r"'[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'"
@@ -393,14 +478,54 @@ def missing_words(spark, sf):
     return terms.missing_words(_page_zones(spark, sf), pages.select(F.col("page_id").alias("doc_id"), fixtures.host().alias("grp")), more_than=2)
 
 
-@query(f"""with {_tokens_sql(_BODY).replace("al as (", "al as materialized (")}, post as (select * from al where regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') and form not in ({STOP}) and term not in ({STOP})), {_FREQ.replace("freq as (", "freq as materialized (")}, m as (select max(tf)::double as most from freq),
-c as (select al.doc_id, pos, form, not regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') or form in ({STOP}) as plain, tf, round(100 + 155 * tf / most, 0)::int as g from al left join freq using (term), m)
-select doc_id, pos, form, case when plain then '#010101' when tf is null then '#ff0000' else format('#{{:02x}}{{:02x}}00', 255 - g, g) end as color from c""")
-def colorize(spark, sf):
+_COLORS = f"""{_tokens_sql(_BODY).replace("al as (", "al as materialized (")}, post as (select * from al where regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') and form not in ({STOP}) and term not in ({STOP})), {_FREQ.replace("freq as (", "freq as materialized (")}, m as (select max(tf)::double as most from freq),
+c as (select al.doc_id, pos, form, term, not regexp_matches(form, '^[\\p{{L}}\\p{{N}}_]') or form in ({STOP}) as plain, tf, round(100 + 155 * tf / most, 0)::int as g from al left join freq using (term), m),
+col as (select doc_id, pos, form, case when plain then '#010101' when tf is null then '#ff0000' else format('#{{:02x}}{{:02x}}00', 255 - g, g) end as color, case when plain or tf is null then term else tf::varchar || '.0000 ' || term end as title from c)"""
+
+
+def _colors(spark, sf):
     zones = _body(spark, sf)
     return terms.colorize(zones, terms.words_freq(zones))
 
 
+@query(f"with {_COLORS} select * from col")
+def colorize(spark, sf):
+    return _colors(spark, sf)
+
+
+@query(f"with {_COLORS} select doc_id, string_agg('<font color = ' || color || ' title = ' || title || '>' || form || '</font>', ' ' order by pos) as html from col group by doc_id")
+def colored_html(spark, sf):
+    return terms.colored_html(_colors(spark, sf))
+
+
+@query(f"with {_post_sql()}, {_FREQ} select * from freq order by df desc, term limit 20")
+def most_common_terms(spark, sf):
+    return terms.most_common(terms.words_freq(_body(spark, sf)))
+
+
+@query(f"with {_post_sql(_ZONES)} select term, doc_id, count(*) as n from post group by 1, 2")
+def document_frequency(spark, sf):
+    return terms.Index.build(_page_zones(spark, sf)).document_frequency()
+
+
+@query(f"with {_post_sql()} select doc_id, pos, form from post where term in ('thing', 'rewh')")
+def index_entries(spark, sf):
+    return _index(spark, sf).entries("thing", "rewh").select("doc_id", "pos", "form")
+
+
+@query(f"""with q as (select item_id, regexp_split_to_array(lower(trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\t\\n\\f\\r ]+|[\\p{{Nd}}]+|•', ' ', 'g'), E' ')), '[\\t\\n\\f\\r ]+') as ws from benchmark),
+w as (select item_id, unnest(generate_series(1, len(ws))) as k, unnest(ws) as form from q), t as (select *, case when regexp_replace(form, '{text.ENDING}', '') = '' then form else regexp_replace(form, '{text.ENDING}', '') end as term from w)
+select item_id as query_id, (row_number() over (partition by item_id order by k) - 1)::int as i, term, form from t where length(term) > 1 and form not in ({STOP}) and term not in ({STOP})""")
+def parse_queries(spark, sf):
+    return terms.parse_queries(load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+@query("select c.term, sum(cnt)::bigint as cnt from (select regexp_replace(lower(trim(p_name)), '(ing|ed|es|s)$', '') as term, p_size as cnt from part where p_size is not null) c where term <> '' group by 1")
+def frequency_list(spark, sf):
+    lines = load(spark, sf, "part").select(F.concat_ws("\t", F.col("p_size").cast("string"), F.col("p_name")).alias("value"))
+    return terms.frequency_list(lines)
+
+
 # --- clusters --------------------------------------------------------------------------------------------------------
 
 _NODES = "n as (select distinct user_id as obj_id from events where user_id is not null)"
@@ -445,6 +570,25 @@ def medoid(spark, sf):
     return cluster.medoids(_knp(spark, sf), _pairs(spark, sf))
 
 
+@query(f"""{_COMP}, c as (select o, sum(common) as k from (select i as o, common from pairs join comp x on x.obj_id = i join comp y on y.obj_id = j where x.cluster = y.cluster union all
+ select j, common from pairs join comp x on x.obj_id = i join comp y on y.obj_id = j where x.cluster = y.cluster) group by o),
+md as (select cluster, obj_id as medoid from (select cluster, obj_id, row_number() over (partition by cluster order by coalesce(k, 0) desc, obj_id) as r from comp left join c on o = obj_id) where r = 1)
+select round(sum(coalesce(dist, 1.0::double)), 6) as quality from comp join md using (cluster) left join pairs on i = least(obj_id, medoid) and j = greatest(obj_id, medoid) where obj_id <> medoid""")
+def sphere_quality(spark, sf):
+    """The summed distance of all objects to their cluster's medoid."""
+    found, p = _knp(spark, sf), _pairs(spark, sf)
+    placed = found.join(cluster.medoids(found, p), "cluster").select("obj_id", F.col("medoid").alias("centre"))
+    return cluster.quality(placed, p)
+
+
+@query(f"""{_RENUM}, {_PLACE} select n.obj_id as query_id, 'query ' || n.obj_id as query, label as cl_0, p.pos as position, case when p.pos = 0 then '' else 'page ' || p.wanted end as page
+from n join comp using (obj_id) join lab using (cluster) join p on p.query_id = n.obj_id""")
+def cluster_report(spark, sf):
+    queries = _objects(spark, sf).select(F.col("obj_id").alias("query_id"), F.concat(F.lit("query "), F.col("obj_id").cast("string")).alias("query"))
+    site = position_lookup(spark, sf).select("query_id", "pos", F.when(F.col("pos") == 0, "").otherwise(F.concat(F.lit("page "), F.col("wanted").cast("string"))).alias("page"))
+    return store.cluster_report(queries, [cluster.renumber(_knp(spark, sf))], site)
+
+
 @query(f"{_RENUM} select obj_id, label as cluster from comp join lab using (cluster)")
 def linkage_single_cut(spark, sf):
     objects = _objects(spark, sf)

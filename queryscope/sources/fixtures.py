@@ -42,12 +42,49 @@ def query_list(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(clean(F.col(column)).alias("query")).where(F.length("query") > 0).distinct()
 
 
-def ranking_json(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """Unpack a ranking service's answers: {status, data: [{position, www, domain, path, title, text}]} to rows with urls."""
+def ranking_json(payload: DataFrame, column: str = "payload", depth: int | None = None) -> DataFrame:
+    """Unpack a ranking service's answers: {status, data: [{position, www, domain, path, title, text}]} to rows with urls.
+
+    With ``depth`` each answer gives the places 1 to ``depth``: later ones are left out, missing ones have empty texts.
+    """
     kind = "status int, data array<struct<position:int,www:int,domain:string,path:string,title:string,text:string>>"
-    rows = payload.select(*[c for c in payload.columns if c != column], F.explode(F.from_json(column, kind)["data"]).alias("d"))
+    keys = [c for c in payload.columns if c != column]
+    rows = payload.select(*keys, F.explode(F.from_json(column, kind)["data"]).alias("d"))
     url = F.concat(F.when(F.col("d.www") == 1, "http://www.").otherwise("http://"), F.col("d.domain"), F.lit("/"), F.col("d.path"))
-    return rows.select(*[c for c in payload.columns if c != column], F.col("d.position").alias("pos"), url.alias("url"), "d.title", "d.text")
+    rows = rows.select(*keys, F.col("d.position").alias("pos"), url.alias("url"), "d.title", "d.text")
+    if depth is None:
+        return rows
+    places = payload.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("pos"))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("url", "title", "text")]
+    return places.join(rows, [*keys, "pos"], "left").select(*keys, "pos", *texts)
+
+
+def ranking_xml(payload: DataFrame, column: str = "payload", depth: int = 100) -> DataFrame:
+    """Unpack a search service's XML answers (response/results/grouping/group/doc with url, title, passages) to (…, pos, url, title, text)."""
+    doc = "struct<url:string,title:string,passages:struct<passage:array<string>>>"
+    kind = f"response struct<results:struct<grouping:struct<group:array<struct<doc:{doc}>>>>>"
+    keys = [c for c in payload.columns if c != column]
+    rows = payload.select(*keys, F.posexplode(F.from_xml(F.col(column), kind)["response"]["results"]["grouping"]["group"]["doc"]).alias("at", "d"))
+    text = F.coalesce(F.array_join("d.passages.passage", " "), F.lit(""))
+    return rows.where(F.col("at") < depth).select(*keys, (F.col("at") + 1).alias("pos"), "d.url", "d.title", text.alias("text"))
+
+
+def corresponding_page(ranking: DataFrame, site: str) -> DataFrame:
+    """(query_id, pos, url): the best placed page of a site (its host or one below) in each ranking (query_id, pos, url) that has one."""
+    own = F.regexp_replace(host("url"), r"^www\.", "")
+    found = ranking.where((own == site) | own.endswith(f".{site}"))
+    return found.groupBy("query_id").agg(F.min(F.struct("pos", "url")).alias("best")).select("query_id", "best.*")
+
+
+def projections(ranking: DataFrame, item: str = "item") -> DataFrame:
+    """(query_id, items): the items (ids, urls or hosts) of each ranking in order of place."""
+    rows = ranking.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(item).alias("x")))).alias("s"))
+    return rows.select("query_id", F.transform("s", lambda r: r["x"]).alias("items"))
+
+
+def space_basis(ranking: DataFrame, item: str = "item") -> DataFrame:
+    """(item): every item that some ranking holds, once."""
+    return ranking.select(F.col(item).alias("item")).distinct()
 
 
 def query_volumes(queries: DataFrame, volumes: DataFrame) -> DataFrame:
