@@ -60,20 +60,50 @@ def least_common(level: float, depth: int = 10) -> int:
     return max(1, int(np.ceil(depth * (1 - level) - 1e-9)))
 
 
-def components(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """(obj_id, cluster): smallest object that edges (i, j) reach. Labels spread to neighbours and jump to their labels' labels."""
-    ensure_checkpoints(objects.sparkSession)
-    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
-    labels = objects.select("obj_id", F.col("obj_id").alias("cluster")).checkpoint()
+#: Most edges that one task may join at the end (16 MB of numbers and as much for labels).
+ONE_TASK = 1_000_000
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(obj_id, cluster) of a bounded number of edges: each end takes the least label, and labels jump, until none changes."""
+    ids, at = np.unique(np.concatenate((pdf.i.values, pdf.j.values)), return_inverse=True)
+    i, j, label = at[: len(pdf)], at[len(pdf) :], np.arange(len(ids))
     while True:
-        near = both.join(labels, both["j"] == labels["obj_id"]).groupBy("i").agg(F.min("cluster").alias("near"))
-        new = labels.join(near, F.col("obj_id") == F.col("i"), "left").select("obj_id", F.col("cluster").alias("was"), F.least("cluster", "near").alias("c"))
-        jump = labels.select(F.col("obj_id").alias("c"), F.col("cluster").alias("jumped"))
-        new = new.join(jump, "c").select("obj_id", "was", F.least("c", "jumped").alias("cluster")).checkpoint()
-        changed = new.where("cluster <> was").limit(1).count()
-        labels = new.select("obj_id", "cluster")
-        if not changed:
-            return labels
+        new = label.copy()
+        np.minimum.at(new, label[i], label[j])
+        np.minimum.at(new, label[j], label[i])
+        new = np.minimum(new, new[label])
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return pd.DataFrame({"obj_id": ids, "cluster": ids[label]})
+        label = new
+
+
+def components(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(obj_id, cluster): smallest object that edges (i, j) reach.
+
+    Labels spread to neighbours and jump to their labels' labels, round by round; what joins different labels is kept for
+    the next round. As soon as ``ONE_TASK`` edges are left at most, one task joins these.
+    """
+    links = stored(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct(), "edges")
+    labels, left = None, links.count()
+    kind = objects.schema["obj_id"].dataType.simpleString()
+    while left > ONE_TASK:
+        both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        near = stored(both.groupBy("i").agg(F.min("j").alias("near")).select("i", F.least("i", "near").alias("to")), "near")
+        jump = near.select(F.col("i").alias("to"), F.col("to").alias("further"))
+        moved = stored(near.join(jump, "to", "left").select(F.col("i").alias("obj_id"), F.coalesce("further", "to").alias("to")), "moved")
+        labels = moved.withColumnRenamed("to", "cluster") if labels is None else labels.join(moved.withColumnRenamed("obj_id", "cluster"), "cluster", "left").select("obj_id", F.coalesce("to", "cluster").alias("cluster"))
+        labels = stored(labels, "labels")
+        ends = links.join(moved.select(F.col("obj_id").alias("i"), F.col("to").alias("a")), "i").join(moved.select(F.col("obj_id").alias("j"), F.col("to").alias("b")), "j")
+        links = stored(ends.where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct(), "edges")
+        left = links.count()
+    last = links.groupBy(F.lit(0).alias("all")).applyInPandas(_joined, f"obj_id {kind}, cluster {kind}")
+    if labels is None:
+        return objects.join(last, "obj_id", "left").select("obj_id", F.coalesce("cluster", "obj_id").alias("cluster"))
+    named = labels.join(last.select(F.col("obj_id").alias("cluster"), F.col("cluster").alias("end")), "cluster", "left").select("obj_id", F.coalesce("end", "cluster").alias("cluster"))
+    return objects.join(named, "obj_id", "left").select("obj_id", F.coalesce("cluster", "obj_id").alias("cluster"))
 
 
 def shortest_open_path(objects: DataFrame, pair_table: DataFrame, level: float = 0.9, depth: int = 10) -> DataFrame:
