@@ -45,9 +45,9 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sendable(rows: DataFrame) -> DataFrame:
+def sendable(rows: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """``rows`` (a stored table of a few plain columns), marked for broadcast if its counted size allows it."""
-    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def spread(df: DataFrame) -> DataFrame:
