@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import gram_hashes, hashes, octets, stored, without
+from queryscope.llm.common import gram_hashes, hashes, octets, sendable, stored, without
 
 SPAN, GRAM = 8, 5
 #: Bits of the filter that documents' fingerprints pass before they are shuffled: 2 MB, whatever the benchmark's size.
 _FILTER_BITS = 24
+#: Most windows (some 60 bytes of text each) that are sent to all tasks; more are joined by a shuffle.
+_SENT = 200_000
 #: A-Z to a-z, other ASCII but letters and digits to space; bytes of non-ASCII characters stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -123,19 +125,20 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     """One row for each document row: (row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 
     ``n_hit`` counts the words inside any occurrence of an item's window, ``n_items`` the items with such windows.
-    Fingerprints are joined, then each candidate window is compared as text. Null or empty texts have no words; null item
+    Fingerprints are joined, then each candidate window is compared as text; the benchmark's windows are sent to all tasks
+    if their counted number allows it, so that a window that very many documents hold is no key of a shuffle. Null or empty texts have no words; null item
     ids are left out; items that repeat an id count once; without items nothing is hit. The hash of no items is that of
-    the empty string.
+    the empty string. Very long texts are read whole; repeated rows each give a row; further columns are left out.
     """
     windows = stored(benchmark_windows(items, span, k), "windows")
     found = scan(docs, windows, span, k, id_col, text_col)
     hits = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    forms = windows.select("fp", "off", F.col("len").alias("n"), "win").distinct()
+    forms = sendable(stored(windows.select("fp", "off", F.col("len").alias("n"), "win").distinct(), "forms"), _SENT)
     first = F.when(F.col("len") < span, F.lit(1)).otherwise(F.lit(span - k + 1) - F.col("off"))
     same = F.array_join(F.slice("ctx", first, F.col("len")), " ") == F.col("win")
     places = stored(hits.join(forms, "fp").where((F.col("len") == F.col("n")) & same).select("row", (F.col("pos") - F.col("off")).alias("start"), "len", "win").distinct(), "places")
     covered = places.select("row", F.explode(F.expr("sequence(start, start + len - 1)")).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    in_doc = places.select("row", "win").distinct().join(windows.select("win", "item_id").distinct(), "win").select("row", F.col("item_id").cast("string").alias("i")).distinct()
+    in_doc = places.select("row", "win").distinct().join(sendable(stored(windows.select("win", "item_id").distinct(), "items"), _SENT), "win").select("row", F.col("item_id").cast("string").alias("i")).distinct()
     named = in_doc.groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("ids"))
     out = found.drop("hits").join(covered, "row", "left").join(named, "row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))

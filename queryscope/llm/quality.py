@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import octets
+from queryscope.llm.common import octets, sendable, stored
 
 #: A document is split into pieces of so many bytes while it is hashed, which bounds memory; every piece is used.
 _PIECE = 1 << 20
@@ -102,8 +102,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = 17, di
     return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int = 17, held_out: int | None = 5) -> Model:
-    """Learn ``labels.quality`` from whole texts of at most ``max_documents`` labelled rows, those of least hashed id.
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int = 17, held_out: int | None = 5, max_features: int = 1 << 24) -> Model:
+    """Learn ``labels.quality`` from whole texts of at most ``max_documents`` labelled ids, those of least hashed id.
+
+    Of these, taken in that order, as many are learnt from as have ``max_features`` distinct buckets together (128 MB on
+    the driver), however long they are. Of different texts of one id the smallest counts; further columns are left out.
 
     Rows with crc32(doc_id as text) mod ``held_out`` = 0 are never learnt from. Labels other than 0 and 1, null ids and
     null labels are left out; contradicting labels of one id count as the one that more rows bear, ties as 0.
@@ -120,8 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int
             cnt = pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), idx, cnt, b.column(2)], names=["doc_id", "idx", "cnt", "y"])
 
-    picked = docs.select("doc_id", "text").join(chosen, "doc_id")
-    rows = picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, idx array<int>, cnt array<int>, y int").toArrow()
+    picked = docs.select("doc_id", "text").join(sendable(stored(chosen, "chosen")), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    found = stored(picked.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, idx array<int>, cnt array<int>, y int"), "features")
+    #: one row for each of at most max_documents ids
+    so_far = F.sum(F.size("idx").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).drop("so_far").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     idx, cnt, y = (rows.column(c).combine_chunks() for c in ("idx", "cnt", "y"))
     return train([(idx[int(k)].values.to_numpy(), cnt[int(k)].values.to_numpy(), int(y[int(k)].as_py())) for k in order], bits)
@@ -130,6 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted): every row scored on its whole text alone; null counts as empty, which scores the bias.
 
+    Very long texts are scored piece by piece; repeated rows each give a row; further columns, whatever their names, are
+    left out; an empty table gives no rows.
+
     The model is a fixed 2**bits floats (0.5 MB at 17 bits) and travels with the task.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.bits))

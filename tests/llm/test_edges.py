@@ -162,3 +162,14 @@ def test_language_model_by_brute_force(spark):
         z = np.log(n / n.sum()) + sum(logp[:, b] * c for b, c in buckets(text))
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert r["lang_pred"] == langs[int(z.argmax())] and abs(r["score"] - p.max()) < 1e-6
+
+
+def test_quality_learns_from_repeated_ids_once(spark):
+    """A third of the rows bears one id: one text of it is learnt from, and the bounds hold."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["good", "fine", "well"] if k % 2 else ["bad", "junk", "spam"], 30)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)] + [(1, "repeated words", 1)] * 40, "doc_id long, text string, y long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    for limits in ({}, {"max_documents": 20}, {"max_features": 2000}):
+        got = quality.classify(docs, quality.fit(docs, labels, **limits)).collect()
+        assert len(got) == 100 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] != 1]) >= 0.9
