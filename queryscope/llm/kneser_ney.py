@@ -26,8 +26,12 @@ END, START = b"\n/s", b"\ns"
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _UNMIX = tuple(np.uint64(pow(x, -1, 1 << 64)) for x in (_A, _B))
 #: Tokens handled at once.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
+#: Keys that a task holds before it adds them up.
+_HELD = 1 << 20
 _MAPPED: dict[str, np.ndarray] = {}
+#: One of each a worker process: they hold large buffers.
+_ZSTD: dict[str, object] = {}
 #: A word's columns: its count, how many words follow it once, twice and oftener, how many precede it; all but the first
 #: count words, of which there are fewer than 2**32.
 _COLUMNS = {"cnt": np.int64, "one": np.uint32, "two": np.uint32, "more": np.uint32, "cont": np.uint32}
@@ -58,11 +62,15 @@ def add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _packed(a: np.ndarray) -> bytes:
     """Byte planes of an array, compressed: what is alike or zero comes together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+    if "out" not in _ZSTD:
+        _ZSTD["out"] = zstandard.ZstdCompressor(level=1)
+    return _ZSTD["out"].compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
 
 
 def _unpacked(data: bytes, kind, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, n)
+    if "in" not in _ZSTD:
+        _ZSTD["in"] = zstandard.ZstdDecompressor()
+    planes = np.frombuffer(_ZSTD["in"].decompress(data), np.uint8).reshape(-1, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
@@ -73,14 +81,14 @@ class Adder:
     """Sums by key within a task; memory follows the distinct keys of the task."""
 
     def __init__(self, columns: int):
-        self.columns, self.parts, self.held, self.size = columns, [], 0, 1 << 22
+        self.columns, self.parts, self.held, self.size = columns, [], 0, _HELD
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.parts.append((keys, values))
         self.held += len(keys)
         if self.held > self.size:
             self.merge()
-            self.size = max(1 << 22, 2 * self.held)
+            self.size = max(_HELD, 2 * self.held)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
