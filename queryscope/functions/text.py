@@ -32,9 +32,14 @@ def tokens(text: Column) -> Column:
 
 
 def lemma(token: Column) -> Column:
-    """Fallback lemma: lower case without one common ending; a token that is all ending stays."""
-    cut = F.regexp_replace(F.lower(token), ENDING, "")
-    return F.when(cut == "", F.lower(token)).otherwise(cut)
+    """Fallback lemma: lower case without one common ending (``ENDING``); a token that is all ending stays.
+
+    Told by plain suffixes, longest first, which is several times as fast as the pattern.
+    """
+    low = F.lower(token)
+    size = F.length(low)
+    cut = F.when(low.endswith("ing"), size - 3).when(low.endswith("ed") | low.endswith("es"), size - 2).when(low.endswith("s"), size - 1).otherwise(size)
+    return F.when(cut > 0, F.substring(low, F.lit(1), cut)).otherwise(low)
 
 
 def squeeze(text: Column) -> Column:

@@ -23,7 +23,12 @@ def all_tokens(zones: DataFrame) -> DataFrame:
 
 def postings(zones: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Tokens that are words and whose form and term are no stop words."""
-    return all_tokens(zones).where(F.col("form").rlike(r"^[\p{L}\p{N}_]") & ~F.col("form").isin(*stop_words) & ~F.col("term").isin(*stop_words))
+    return all_tokens(zones).where(_word(F.col("form")) & ~F.col("form").isin(*stop_words) & ~F.col("term").isin(*stop_words))
+
+
+def _word(form: Column) -> Column:
+    """Whether a token is a word; other tokens are single characters, so longer ones need no pattern."""
+    return (F.length(form) > 1) | form.rlike(r"^[\p{L}\p{N}_]")
 
 
 def words_freq(zones: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -247,7 +252,7 @@ def missing_words(zones: DataFrame, peers: DataFrame, more_than: int = 7, stop_w
 
 def function_words(form: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Whether a token is a stop word or no word at all; parts of speech need a dictionary, which the stop list stands for."""
-    return ~form.rlike(r"^[\p{L}\p{N}_]") | form.isin(*stop_words)
+    return ~_word(form) | form.isin(*stop_words)
 
 
 def colorize(zones: DataFrame, freq: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
