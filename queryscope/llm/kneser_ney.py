@@ -97,22 +97,61 @@ class Adder:
         self.held = len(self.parts[0][0])
         return self.parts[0]
 
-    def blobs(self, bucket: Callable[[np.ndarray], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    def blobs(self, bucket: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A compressed row for each range that has keys; ``bucket`` rises with the key."""
         keys, values = self.merge()
-        cuts = np.searchsorted(bucket(keys), np.arange(buckets + 1))
-        for b in range(buckets):
-            k, v = keys[cuts[b] : cuts[b + 1]], values[cuts[b] : cuts[b + 1]]
-            if len(k):
-                delta = np.diff(k, prepend=np.uint64(0))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(k)]), pa.array([_packed(delta)], pa.binary()), pa.array([_packed(np.ascontiguousarray(v))], pa.binary())], names=["bucket", "n", "keys", "vals"])
+        of = bucket(keys)
+        cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(keys))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            delta = np.diff(keys[a:z], prepend=np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int32()), pa.array([z - a]), pa.array([_packed(delta)], pa.binary()), pa.array([_packed(np.ascontiguousarray(values[a:z]))], pa.binary())], names=["bucket", "n", "keys", "vals"])
+
+
+class Ranges:
+    """How keys are dealt to ranges: at once, or by way of coarse ranges if there are more than ``most``.
+
+    A task emits a row for each range that it has keys of. So that a row holds many keys however many ranges there are,
+    keys go to at most ``most`` coarse ranges first, where the keys of many tasks are added up and cut finer.
+    """
+
+    def __init__(self, bucket: Callable[[np.ndarray], np.ndarray], buckets: int, columns: int, most: int):
+        self.bucket, self.columns, self.width, self.coarse = bucket, columns, max(1, -(-buckets // most)), 0
+        self.coarse = -(-buckets // self.width)
+
+    def emit(self, adder: Adder) -> Iterator[pa.RecordBatch]:
+        bucket, width = self.bucket, self.width
+        return adder.blobs(lambda k: bucket(k) // width)
+
+    def dealt(self, blobs: DataFrame) -> DataFrame:
+        """Rows of ``emit`` as rows of fine ranges."""
+        if self.width == 1:
+            return blobs
+        bucket, columns = self.bucket, self.columns
+
+        def split(batches):
+            adder = Adder(columns)
+            for b in batches:
+                for r in range(b.num_rows):
+                    adder.add(*_opened(b.slice(r, 1), columns))
+                    if adder.held > 8 * _HELD:
+                        yield from adder.blobs(bucket)
+                        adder = Adder(columns)
+            yield from adder.blobs(bucket)
+
+        return blobs.repartition(self.coarse, "bucket").mapInArrow(split, _BLOB)
+
+
+def _opened(row, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a table or batch of one blob."""
+    n = row.column("n")[0].as_py()
+    keys = np.cumsum(_unpacked(row.column("keys")[0].as_py(), np.uint64, n), dtype=np.uint64)
+    return keys, _unpacked(row.column("vals")[0].as_py(), np.int64, n).reshape(n, columns)
 
 
 def _merged(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
     adder = Adder(columns)
     for r in range(table.num_rows):
-        n = table.column("n")[r].as_py()
-        keys = np.cumsum(_unpacked(table.column("keys")[r].as_py(), np.uint64, n), dtype=np.uint64)
-        adder.add(keys, _unpacked(table.column("vals")[r].as_py(), np.int64, n).reshape(n, columns))
+        adder.add(*_opened(table.slice(r, 1), columns))
     return adder.merge()
 
 
@@ -135,7 +174,7 @@ class Arrays:
 
     def __init__(self, folder: str, name: str, lengths: list[int], wide: frozenset[int] = frozenset()):
         """``wide``: the ranges whose counts take 64 bits."""
-        self.folder, self.name, self.lengths, self.wide = folder, name, lengths, wide
+        self.folder, self.name, self.lengths, self.wide = folder, name, np.array(lengths, np.int64), wide
         self.offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
 
     def part(self, b: int, column: str, kind) -> np.ndarray:
@@ -258,17 +297,19 @@ class Model:
         return count, base, np.log10(p)
 
 
-def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys_per_range: int = 2_000_000) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys_per_range: int = 2_000_000, most_ranges: int = 4096) -> Model:
     """Count every token and bigram of all rows of ``docs`` (null text: empty) and write the model's arrays.
 
-    The number of ranges grows with the bytes of text, so a range stays at about ``keys_per_range`` keys. The driver sees
-    a row for each range. Without rows every word is unknown and has probability 1.
+    The number of ranges grows with the bytes of text, so a range stays at about ``keys_per_range`` keys; over
+    ``most_ranges`` keys are dealt in two steps. The driver sees a row for each range, and tasks get the ranges' lengths by
+    broadcast (8 bytes a range). Without rows every word is unknown and has probability 1.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "kneser-ney")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 200_000)), -(-size // (6 * keys_per_range)))
     texts = docs.select(text_col)
+    by_key = Ranges(lambda k: bucket_of(k, buckets), buckets, 1, most_ranges)
 
     def count_words(batches):
         adder = Adder(1)
@@ -277,7 +318,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
             adder.add(k, n.reshape(-1, 1).astype(np.int64))
         if adder.parts:
             adder.add(hashes([START]), np.zeros((1, 1), np.int64))
-        yield from adder.blobs(lambda k: bucket_of(k, buckets), buckets)
+        yield from by_key.emit(adder)
 
     def write_words(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
@@ -286,23 +327,24 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
         put(f"{folder}/word-{b:06d}.cnt", np.ascontiguousarray(values[:, 0]).tobytes())
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "tokens": [int(values.sum())]})
 
-    rows = stored(texts.mapInArrow(count_words, _BLOB).groupBy("bucket").applyInArrow(write_words, "bucket int, n long, tokens long"), "word-ranges").collect()
+    rows = stored(by_key.dealt(texts.mapInArrow(count_words, _BLOB)).groupBy("bucket").applyInArrow(write_words, "bucket int, n long, tokens long"), "word-ranges").collect()
     lengths = {r["bucket"]: r["n"] for r in rows}
     words = Arrays(folder, "word", [lengths.get(b, 0) for b in range(buckets)])
     n_words = int(words.offsets[-1])
     if n_words >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
     start = int(words.find(hashes([START]))[0])
+    sent_words = spark.sparkContext.broadcast(words)
 
     def count_pairs(batches):
-        adder = Adder(1)
+        adder, words = Adder(1), sent_words.value
         for keys, lens in _token_chunks(batches, 0):
             known, inverse = _numbers(words, keys)
             numbers = known[inverse]
             before = _bigrams(numbers, lens, start)
             k, n = np.unique(mix(before.astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)), return_counts=True)
             adder.add(k, n.reshape(-1, 1).astype(np.int64))
-        yield from adder.blobs(lambda k: bucket_of(k, buckets), buckets)
+        yield from by_key.emit(adder)
 
     def write_pairs(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
@@ -312,14 +354,17 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
         put(f"{folder}/pair-{b:06d}.cnt", values[:, 0].astype(np.uint64 if wide else np.uint32).tobytes())
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "wide": [wide], "by_count": pa.array([_by_count(values[:, 0])], pa.list_(pa.int64()))})
 
-    pair_rows = stored(texts.mapInArrow(count_pairs, _BLOB).groupBy("bucket").applyInArrow(write_pairs, "bucket int, n long, wide boolean, by_count array<long>"), "pair-ranges")
+    pair_rows = stored(by_key.dealt(texts.mapInArrow(count_pairs, _BLOB)).groupBy("bucket").applyInArrow(write_pairs, "bucket int, n long, wide boolean, by_count array<long>"), "pair-ranges")
     found = pair_rows.collect()
     lengths = {r["bucket"]: r["n"] for r in found}
     pairs = Arrays(folder, "pair", [lengths.get(b, 0) for b in range(buckets)], frozenset(r["bucket"] for r in found if r["wide"]))
 
+    sent_pairs = spark.sparkContext.broadcast(pairs)
+    by_number = Ranges(lambda k: np.searchsorted(sent_words.value.offsets, k.astype(np.int64), side="right") - 1, buckets, 4, most_ranges)
+
     def contexts(batches):
         """For each pair range: numbers of once, twice and oftener by first word, contexts by second word."""
-        adder = Adder(4)
+        adder, pairs = Adder(4), sent_pairs.value
         for batch in batches:
             for b in batch.column(0).to_pylist():
                 keys, counts = pairs.part(b, "key", np.uint64), pairs.part(b, "cnt", np.uint64 if b in pairs.wide else np.uint32)
@@ -332,10 +377,10 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
                     v = np.zeros((len(w), 4), np.int64)
                     v[:, 3] = n
                     adder.add(w, v)
-        yield from adder.blobs(lambda k: np.searchsorted(words.offsets, k.astype(np.int64), side="right") - 1, buckets)
+        yield from by_number.emit(adder)
 
     def write_contexts(table: pa.Table) -> pa.Table:
-        b = table.column("bucket")[0].as_py()
+        b, words = table.column("bucket")[0].as_py(), sent_words.value
         keys, values = _merged(table, 4)
         dense = np.zeros((words.lengths[b], 4), np.int64)
         dense[keys.astype(np.int64) - words.offsets[b]] = values
@@ -345,7 +390,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, keys
         return pa.table({"bucket": pa.array([b], pa.int32()), "by_count": pa.array([_by_count(cont)], pa.list_(pa.int64())), "more": [int((cont > 2).sum())], "pairs": [int(cont.sum())]})
 
     ranges = pair_rows.select("bucket").repartition(max(1, min(buckets, len(found))), "bucket")
-    last = stored(ranges.mapInArrow(contexts, _BLOB).groupBy("bucket").applyInArrow(write_contexts, "bucket int, by_count array<long>, more long, pairs long"), "contexts").collect()
+    last = stored(by_number.dealt(ranges.mapInArrow(contexts, _BLOB)).groupBy("bucket").applyInArrow(write_contexts, "bucket int, by_count array<long>, more long, pairs long"), "contexts").collect()
     of_pairs = np.array([r["by_count"] for r in found] or [[0] * 4]).sum(axis=0).tolist()
     of_cont = np.array([r["by_count"] for r in last] or [[0] * 4]).sum(axis=0).tolist()
     more = sum(r["more"] for r in last)
@@ -359,8 +404,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     whatever their names, are left out; very long texts are scored whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = sent.value
         for b in batches:
             ids = b.column(0)
             for s in range(0, b.num_rows, 4096):

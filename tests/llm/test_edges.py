@@ -59,6 +59,17 @@ def test_language_model(docs):
     assert all(r["score"] == 0 and r["base_score"] == 0 for r in kneser_ney.score(docs, kneser_ney.fit(docs.limit(0))).collect())
 
 
+def test_language_model_over_many_ranges(spark):
+    """Ranges of a few keys, dealt at once and by way of coarse ranges, give the same model."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(200)], rng.integers(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want, *_ = brute.kneser_ney(texts, texts)
+    for most in (4096, 3):
+        got = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, kneser_ney.fit(docs, keys_per_range=50, most_ranges=most)).collect()}
+        assert np.allclose([got[k] for k in range(150)], [w[4] for w in want], rtol=1e-9)
+
+
 def test_warc(spark):
     big = "é" * 100
     rows = [(3, "http://a/\r\nX: y", big, "q"), (2, None, big, "q"), (2, "http://b", big, "q"), (None, "http://c", big, "q"), (5, "http://d", None, "q"), (6, "http://d", "", "q"), (7, "http://d", "WARC/1.1\r\n\r\n" * 20, "q")]
