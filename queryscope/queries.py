@@ -292,14 +292,20 @@ def squeeze_text(spark, sf):
     return spread(load(spark, sf, "documents")).select("doc_id", t.alias("text"), F.length(t).alias("text_length"))
 
 
+def _utc(ts):
+    """A time without a zone as that time in UTC, whatever the session's zone: watermarks need instants."""
+    return F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
+
+
 @query("""select date_trunc('day', ts)::timestamp as start, user_id as query_id, (props->>'k')::int as item, round(sum(value), 6) as weight from events group by 1, 2, 3""")
 def stream_weights(spark, sf):
     """Daily weights of items by a stream over the events that are there now."""
     schema = load(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"), "value")
+    rows = events.select(_utc(F.col("ts")).alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"), "value")
     out = snapshots.run_once(snapshots.windowed_weights(rows), "weights")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "query_id", "item", F.round("weight", 6).alias("weight"))
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz"))
+    return out.select(start.alias("start"), "query_id", "item", F.round("weight", 6).alias("weight"))
 
 
 @query("select distinct user_id as query_id, (props->>'k')::int as item from events")
@@ -307,7 +313,7 @@ def stream_distinct(spark, sf):
     """Each (query, item) once, late repeats dropped within the watermark's bounded state."""
     schema = load(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"))
+    rows = events.select(_utc(F.col("ts")).alias("ts"), F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("int").alias("item"))
     return snapshots.run_once(snapshots.distinct_snapshots(rows, delay="3650 days"), "distinct", "append").select("query_id", "item")
 
 
