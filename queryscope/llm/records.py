@@ -29,9 +29,9 @@ from queryscope.llm.common import open_fs, put, putting, scratch, stored
 MAGIC = b"QSIDX\x00\x00\x01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
 #: Cached pieces of text in a worker, of at most so many characters each; when full, the cache starts anew.
-_CACHE, _LONGEST = 800_000, 64
+_CACHE, _LONGEST = 300_000, 64
 #: Cached words of pieces in a worker.
-_WORDS = 500_000
+_WORDS = 400_000
 #: Printable ASCII and Latin letters, for which lower-casing goes character by character and normal form C changes nothing.
 _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
 #: Fixed pattern: the words that the tokenizer of this kind makes of a piece.
@@ -186,9 +186,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
         entries, offset = [], 0
         with putting(names[0]) as data:
             for b in chain([first], batches):
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for s in range(0, len(ids), 256):
-                    for doc_id, body in zip(ids[s : s + 256], enc.many([t or "" for t in texts[s : s + 256]]), strict=True):
+                for s in range(0, b.num_rows, 256):
+                    ids, texts = (b.column(c).slice(s, 256).to_pylist() for c in range(2))
+                    for doc_id, body in zip(ids, enc.many([t or "" for t in texts]), strict=True):
                         flags = int(doc_id is None)
                         record = frame(struct.pack("<qBB", doc_id or 0, flags, enc.width) + body + end)
                         entries.append(struct.pack("<qBQQ", doc_id or 0, flags, offset, (len(body) + len(end)) // enc.width))
