@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from queryscope.sources.shared import scratch, sendable, shared_root, stored
 
-__all__ = ["among", "gram_hashes", "hashes", "octets", "open_fs", "put", "putting", "scratch", "sendable", "shared_root", "shingle_views", "stored", "without"]
+__all__ = ["among", "gram_hashes", "hashes", "keep", "octets", "open_fs", "put", "putting", "scratch", "sendable", "shared_root", "shingle_views", "stored", "tidied", "without"]
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: What a worker keeps between tasks, by name, as functions that drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+#: glibc's way to return freed memory to the system; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
 def among(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -65,6 +70,38 @@ def put(uri: str, *chunks: bytes) -> None:
             out.write(chunk)
 
 
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """Have ``drop`` called before this worker's next task of an operator that does not use what is kept as ``name``."""
+    _KEPT[name] = drop
+
+
+def _leave(name: str | None) -> None:
+    for other in [x for x in _KEPT if x != name]:
+        _KEPT.pop(other)()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, which Arrow's pool and the C library hold back otherwise."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator], name: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` (batches to batches) as a task of a worker that lives as long as the session and passes from stage to stage.
+
+    What other operators keep in the worker goes first, unless ``run`` uses it as ``name``; the task's own memory goes last.
+    """
+
+    def wrapped(batches):
+        _leave(name)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column's values; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

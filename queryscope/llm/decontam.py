@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import gram_hashes, hashes, octets, sendable, stored, without
+from queryscope.llm.common import gram_hashes, hashes, octets, sendable, stored, tidied, without
 
 SPAN, GRAM = 8, 5
 #: Bits of the filter that documents' fingerprints pass before they are shuffled: 2 MB, whatever the benchmark's size.
@@ -67,7 +67,7 @@ def benchmark_windows(items: DataFrame, span: int = SPAN, k: int = GRAM, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([item] * n, b.column(0).type), pa.array(fps.view(np.int64)), pa.array(offs.astype(np.int32)), pa.array(np.full(n, min(len(w), span), np.int32)), pa.array([x.decode() for x in wins])], names=["item_id", "fp", "off", "len", "win"])
 
     kind = items.schema[id_col].dataType.simpleString()
-    return items.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"item_id {kind}, fp long, off int, len int, win string").distinct()
+    return items.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(tidied(run), f"item_id {kind}, fp long, off int, len int, win string").distinct()
 
 
 def _filter_of(windows: DataFrame) -> bytes:
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, windows: DataFrame, span: int = SPAN, k: int = GRAM, i
 
         ctx = pa.list_(pa.string())
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("len", pa.int32()), ("fp", pa.int64()), ("ctx", ctx)]))
-        for b in batches:
+        for b in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
             counts, hits = [], []
             for text in octets(b.column(1)):
                 w = words_of(text)
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, windows: DataFrame, span: int = SPAN, k: int = GRAM, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, hits array<struct<pos:int,len:int,fp:long,ctx:array<string>>>"
-    return stored(docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    return stored(docs.select(id_col, text_col).mapInArrow(tidied(run), schema).withColumn("row", F.monotonically_increasing_id()), "scanned")
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

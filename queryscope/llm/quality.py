@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import octets, sendable, stored
+from queryscope.llm.common import octets, sendable, stored, tidied
 
 #: A document is split into pieces of so many bytes while it is hashed, which bounds memory; every piece is used.
 _PIECE = 1 << 20
+#: Rows of which a worker holds the texts as bytes at once.
+_ROWS = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -54,6 +57,30 @@ def counted(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Natural numbers below 2**32, of 1, 2 or 4 bytes each as the largest needs."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+class Examples(Sequence):
+    """(buckets, counts, label) of each document in order; buckets are kept as packed steps, counts packed."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes, int]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        n, steps, cnt, y = self.rows[k]
+        return np.cumsum(unpacked(steps, n)), unpacked(cnt, n), y
+
+
 class Model:
     """``table``: what each bucket adds to the log odds; ``bias``: their start. Both follow from the trained vectors."""
 
@@ -69,7 +96,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 1.0, seed: int = 7) -> Model:
+def train(examples: Sequence[tuple[np.ndarray, np.ndarray, int]], bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 1.0, seed: int = 7) -> Model:
     """Two-class softmax over the averaged bucket vectors, by stochastic gradient descent with a falling rate.
 
     Without examples of both classes the score is the share of label 1 (0.5 without any example).
@@ -105,8 +132,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = 17, di
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int = 17, held_out: int | None = 5, max_features: int = 1 << 24) -> Model:
     """Learn ``labels.quality`` from whole texts of at most ``max_documents`` labelled ids, those of least hashed id.
 
-    Of these, taken in that order, as many are learnt from as have ``max_features`` distinct buckets together (128 MB on
-    the driver), however long they are. Of different texts of one id the smallest counts; further columns are left out.
+    Of these, taken in that order, as many are learnt from as have ``max_features`` distinct buckets together, however long
+    they are. The driver gets their buckets and counts packed, in 3 to 4 bytes a bucket for prose, 8 at most. Of different texts of one id the smallest counts; further columns are left out.
 
     Rows with crc32(doc_id as text) mod ``held_out`` = 0 are never learnt from. Labels other than 0 and 1, null ids and
     null labels are left out; contradicting labels of one id count as the one that more rows bear, ties as 0.
@@ -117,20 +144,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, bits: int
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
 
     def run(batches):
-        for b in batches:
-            found = [counted(t, bits) for t in octets(b.column(1))]
-            idx = pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))
-            cnt = pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), idx, cnt, b.column(2)], names=["doc_id", "idx", "cnt", "y"])
+        for b in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
+            n, steps, cnt = [], [], []
+            for t in octets(b.column(1)):
+                idx, c = counted(t, bits)
+                n.append(len(idx))
+                steps.append(packed(np.diff(idx, prepend=0)))
+                cnt.append(packed(c))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(steps, pa.binary()), pa.array(cnt, pa.binary()), b.column(2)], names=["doc_id", "n", "steps", "cnt", "y"])
 
     picked = docs.select("doc_id", "text").join(sendable(stored(chosen, "chosen")), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
-    found = stored(picked.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, idx array<int>, cnt array<int>, y int"), "features")
-    #: one row for each of at most max_documents ids
-    so_far = F.sum(F.size("idx").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).drop("so_far").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    idx, cnt, y = (rows.column(c).combine_chunks() for c in ("idx", "cnt", "y"))
-    return train([(idx[int(k)].values.to_numpy(), cnt[int(k)].values.to_numpy(), int(y[int(k)].as_py())) for k in order], bits)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, steps binary, cnt binary, y int"
+    found = stored(picked.select("doc_id", "text", "y").mapInArrow(tidied(run), schema), "features")
+    #: one row for each of at most max_documents ids; only their sizes are brought together
+    place = F.xxhash64("doc_id")
+    sizes = found.select(place.alias("place"), "doc_id", "n").orderBy("place", "doc_id").collect()
+    fit_in = int((np.cumsum([r["n"] for r in sizes]) <= max_features).sum())
+    if fit_in < len(sizes):
+        after = sizes[fit_in]
+        found = found.where((place < after["place"]) | (place == after["place"]) & (F.col("doc_id") < after["doc_id"]))
+    rows = [r for b in found.toArrow().to_batches() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return train(Examples([r[1:] for r in sorted(rows, key=lambda r: r[0])]), bits)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,21 +179,27 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str
 
     def run(batches):
         m = Model(*sent.value)
-        for b in batches:
+        for b in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
             s = np.array([m.score(t) for t in octets(b.column(1))], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"doc_id {kind}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns and in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.bits))
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
+    def judged(columns):
         m = Model(*sent.value)
-        return pd.Series([m.score((t or "").encode()) >= threshold for t in texts])
+        for c in columns:
+            yield pa.array([m.score(t) >= threshold for s in range(0, len(c), _ROWS) for t in octets(c.slice(s, _ROWS))], pa.bool_())
+
+    run = tidied(judged)
+
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(texts)
 
     return docs.where(good("text"))

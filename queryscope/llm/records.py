@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import open_fs, put, putting, scratch, stored
+from queryscope.llm.common import keep, open_fs, put, putting, scratch, stored, tidied
 
 MAGIC = b"QSIDX\x00\x00\x01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -126,6 +126,10 @@ class Encoder(dict):
         get = self.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+
     def _encoded(self, text: str) -> bytes:
         return b"".join([self.ids[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
 
@@ -158,9 +162,15 @@ def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Encoder(path)
+    keep("encoder", _forget)
     return _TOKENIZERS[path]
 
 
+def _forget() -> None:
+    for enc in _TOKENIZERS.values():
+        enc.forget()
+
+
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, rows_per_shard: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts (null: empty) in ascending id order and write them as shards with indexes.
 
@@ -199,7 +209,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
         held = np.frombuffer(table, ENTRY)
         yield pa.RecordBatch.from_pylist([{"shard": shard, "data": names[0], "index": names[1], "n_docs": len(held), "n_tokens": int(held["n_tokens"].sum()), "first": int(held["doc_id"][0])}], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64())]))
 
-    return stored(ordered.mapInArrow(run, "shard int, data string, index string, n_docs long, n_tokens long, first long"), "manifest")
+    return stored(ordered.mapInArrow(tidied(run, "encoder"), "shard int, data string, index string, n_docs long, n_tokens long, first long"), "manifest")
 
 
 def read_index(uri: str) -> np.ndarray:
@@ -248,4 +258,4 @@ def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return shards.select("shard", "data", "index", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long, ids binary")
+    return shards.select("shard", "data", "index", "before").mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long, ids binary")

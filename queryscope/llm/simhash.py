@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import gram_hashes, hashes, octets, sendable, shingle_views, stored, without
+from queryscope.llm.common import gram_hashes, hashes, octets, sendable, shingle_views, stored, tidied, without
 from queryscope.llm.components import components
 
 BITS = 64
@@ -49,12 +49,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
             fps = [fingerprint_of(t.lower().split(), shingle) for t in octets(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"doc_id {kind}, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def _correlations(fps: DataFrame) -> np.ndarray:
         i, j = np.indices((BITS, BITS)).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], names=["i", "j", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select("fp").mapInArrow(tidied(run), "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((BITS, BITS))
     for r in rows:
         both[r["i"], r["j"]] = r["n"]
@@ -222,7 +222,7 @@ def make_plan(fps: DataFrame, tau: int, parts: int | None = None) -> Plan:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(hist[at, v])], names=["at", "v", "n"])
 
     hist = np.zeros((len(blocks), 256))
-    for r in fps.select("fp").mapInArrow(run, "at int, v int, n long").groupBy("at", "v").agg(F.sum("n").alias("n")).collect():
+    for r in fps.select("fp").mapInArrow(tidied(run), "at int, v int, n long").groupBy("at", "v").agg(F.sum("n").alias("n")).collect():
         hist[r["at"], r["v"]] = r["n"]
     plans = [Plan(gs, {(i, k): h for h, (of, i, k, _) in zip(hist, blocks, strict=True) if of == m}, n, tau) for m, gs in groups.items()]
     return min(plans, key=Plan.work)
@@ -247,7 +247,7 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, long_bucket: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(own.view(np.int64)), pa.array(t)], names=["part", "key", "u", "t"])
 
     index = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mk))).alias("key"), F.col("fp").alias("v")) for i, mk in enumerate(masks)])).alias("x")).select("x.*")
-    probes = fps.select("fp").mapInArrow(run, "part int, key long, u long, t long")
+    probes = fps.select("fp").mapInArrow(tidied(run), "part int, key long, u long, t long")
     keys = ["part", "key"]
     lengthy = stored(index.groupBy(*keys).count().where(F.col("count") > long_bucket).select(*keys), "lengthy")
     split_more = not lengthy.isEmpty()
@@ -338,7 +338,7 @@ def _sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, f.type) for x, f in zip(found, schema, strict=True)]], names=["doc_id", "text_key", *schema.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _text_key("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node string, fp long, n long, bands array<long>")
+    return docs.select("doc_id", _text_key("text").alias("text_key"), "text").mapInArrow(tidied(run), f"doc_id {kind}, text_key long, node string, fp long, n long, bands array<long>")
 
 
 def _text_key(column: str):
@@ -352,7 +352,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
             for nid, node, text in zip(b.column(0), b.column(1).to_pylist(), octets(b.column(2)), strict=True):
                 s = _shingles(text, words)
                 if _name(s) == node:
@@ -360,7 +360,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     d, w = docs.select("doc_id", _text_key("text").alias("text_key"), "text"), sendable(wanted)
     texts = d.join(w, (d["text_key"] == w["text_key"]) & d["doc_id"].eqNullSafe(w["doc_id"]))
-    return texts.select("nid", "node", "text").mapInArrow(run, "nid long, s array<long>")
+    return texts.select("nid", "node", "text").mapInArrow(tidied(run), "nid long, s array<long>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:

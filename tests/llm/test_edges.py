@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from queryscope.llm import ann, decontam, kneser_ney, langid, license_scan, mixing, quality, warc
 
@@ -184,3 +185,24 @@ def test_quality_learns_from_repeated_ids_once(spark):
     for limits in ({}, {"max_documents": 20}, {"max_features": 2000}):
         got = quality.classify(docs, quality.fit(docs, labels, **limits)).collect()
         assert len(got) == 100 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] != 1]) >= 0.9
+
+
+def test_quality_examples_are_sent_packed(spark, monkeypatch):
+    """What is learnt from is what plain counting gives, in order, in less than 5 bytes a bucket, with and without a bound."""
+    rng = np.random.default_rng(2)
+    words = ["w" + str(k) for k in range(3000)]
+    texts = {k: " ".join(rng.choice(words, 400)) for k in range(40)} | {40: "", 41: "a" * 70_000, 42: "a " * 300}
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in texts], "doc_id long, quality int, toxic int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda examples, bits: taught.append(examples))
+    for most in (1 << 24, 30_000):
+        quality.fit(docs, labels, held_out=None, max_features=most)
+        order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+        plain = {k: quality.counted(t.encode(), 17) for k, t in texts.items()}
+        held = np.cumsum([len(plain[k][0]) for k in order])
+        want, got = sorted(k for k, n in zip(order, held, strict=True) if n <= most), taught.pop()
+        assert len(got) == len(want) > 5 and (most > held[-1] or len(want) < len(order))
+        for k, (idx, cnt, y) in zip(want, got, strict=True):
+            assert y == k % 2 and np.array_equal(idx, plain[k][0]) and np.array_equal(cnt, plain[k][1])
+        assert sum(len(x) for r in got.rows for x in r if isinstance(x, bytes)) < 5 * sum(len(plain[k][0]) for k in want)

@@ -1,14 +1,17 @@
 """Token records: the encoder against the library, and the file format's round trip and checks."""
 
 import io
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from queryscope.llm import records
+from queryscope.llm.common import tidied
 from queryscope.llm.queries import tokenizer_path
 
 TOK = Tokenizer.from_file(tokenizer_path())
@@ -66,3 +69,39 @@ def test_edges(spark):
         doc_id, ids = records.payload_ids(records.read_at(m[r.shard]["data"], r.offset))
         assert ids.astype("<u4").tobytes() == r.ids and (doc_id is None) == np.isnan(r.doc_id)
     assert records.read_records(records.write_records(docs.limit(0), tokenizer_path())).count() == 0
+
+
+def test_workers_drop_cached_pieces_before_other_work(spark):
+    """A worker that encoded keeps no pieces while it works for another operator."""
+    docs = spark.createDataFrame([(k, f"word{k} other{k}") for k in range(400)], "doc_id long, text string")
+
+    def held(batches):
+        for b in batches:
+            n = sum(len(e) + len(e.words) for e in records._TOKENIZERS.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    def counts(run):
+        return [r["n"] for r in spark.range(4000).repartition(16).mapInArrow(run, "n long").collect()]
+
+    records.write_records(docs, tokenizer_path()).collect()
+    assert max(counts(tidied(held, "encoder"))) > 0
+    assert counts(tidied(held)) == [0] * 4000
+
+
+def test_task_gives_memory_back():
+    """After a task the process is nearly as large as before, though freed memory lies between blocks in use."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def run(batches):
+        for n in batches:
+            blocks = [bytes(2000) for _ in range(n)]
+            kept.extend(blocks[::50])
+            yield len(blocks)
+
+    kept: list[bytes] = []
+    before = resident()
+    assert list(tidied(run)([100_000])) == [100_000]
+    assert resident() - before < 100
