@@ -53,3 +53,58 @@ def test_repeated_pairs(spark, rankings, way):
     host = {q: [i % 7 for i in items] for q, items in rankings.items()}
     want = {(a, b): sum(x in host[a] for x in host[b]) for a, b in combinations(sorted(rankings), 2)}
     assert got == {p: c for p, c in want.items() if c}
+
+
+@pytest.fixture(scope="module")
+def objects(spark, rankings):
+    return spark.createDataFrame([(q,) for q in rankings], "obj_id long")
+
+
+def labels(rankings, least):
+    label = {q: q for q in rankings}
+    for (a, b), c in common(rankings).items():
+        if c >= least and label[a] != label[b]:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {q: new if x == old else x for q, x in label.items()}
+    return label
+
+
+def found(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
+@pytest.mark.parametrize("least", [2, 5])
+def test_components(serp, objects, rankings, way, least):
+    assert found(cluster.shortest_open_path(objects, cluster.Rankings(serp), 1 - least / DEPTH)) == labels(rankings, least)
+
+
+def test_clusters_by_rankings(spark, serp, rankings, way):
+    label = labels(rankings, 5)
+    clusters = spark.createDataFrame(list(label.items()), "obj_id long, cluster long")
+    held, near, inner = cluster.Rankings(serp), {}, dict.fromkeys(rankings, 0)
+    for (a, b), c in common(rankings).items():
+        x, y = sorted((label[a], label[b]))
+        if x == y:
+            inner[a], inner[b] = inner[a] + c, inner[b] + c
+        elif c:
+            near[x, y] = min(near.get((x, y), 1), round(1 - c / DEPTH, 6))
+    assert {(r["a"], r["b"]): r["dist"] for r in cluster.cluster_dist(clusters, held).collect()} == near and near
+    middle = {x: min((q for q in rankings if label[q] == x), key=lambda q: (-inner[q], q)) for x in set(label.values())}
+    assert found(cluster.medoids(clusters, held)) == middle
+    placed = spark.createDataFrame([(q, middle[x]) for q, x in label.items()], "obj_id long, centre long")
+    away = sum(1 - common(rankings)[min(q, middle[x]), max(q, middle[x])] / DEPTH for q, x in label.items() if q != middle[x])
+    assert abs(cluster.quality(placed, held).first()[0] - away) < 1e-6
+
+
+def test_pagerank_and_prune_by_rankings(spark, serp, objects, rankings, way):
+    """The graph is never formed, ranks and degrees are those of the formed one."""
+    v, held = objects.withColumnRenamed("obj_id", "id"), cluster.Rankings(serp)
+    edges = spark.createDataFrame([(a, b, c / DEPTH) for (a, b), c in common(rankings).items() if c], "src long, dst long, weight double").persist()
+    want, ranks = found(cluster.pagerank(v, edges, 1e-12)), cluster.pagerank(v, held, 1e-12).persist()
+    got = found(ranks)
+    assert got.keys() == want.keys() and all(abs(got[q] - want[q]) < 1e-11 for q in got)
+    with pytest.raises(ArithmeticError):
+        cluster.pagerank(v, held, tolerance=0.0, most=3)
+    even = ranks.selectExpr("id", "round(pr, 12) as pr").persist()
+    gone = found(cluster.prune(v, held, even, 0.9))
+    assert gone == found(cluster.prune(v, edges, even, 0.9)) and gone
