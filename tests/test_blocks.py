@@ -108,3 +108,14 @@ def test_pagerank_and_prune_by_rankings(spark, serp, objects, rankings, way):
     even = ranks.selectExpr("id", "round(pr, 12) as pr").persist()
     gone = found(cluster.prune(v, held, even, 0.9))
     assert gone == found(cluster.prune(v, edges, even, 0.9)) and gone
+
+
+@pytest.mark.parametrize("radius", [0.6, 0.8])
+def test_spheres_by_rankings(spark, serp, objects, rankings, way, radius):
+    """FOREL, SKAT and FOREL with paths hold no square matrix and give what the pairs give."""
+    p = spark.createDataFrame([(a, b, c, round(1 - c / DEPTH, 6)) for (a, b), c in common(rankings).items() if c], "i long, j long, common long, dist double").persist()
+    held = cluster.Rankings(serp)
+    start = cluster.forel(objects, p, radius, tries=25).persist()
+    assert found(cluster.forel(objects, held, radius, tries=25)) == found(start)
+    assert sorted(map(tuple, cluster.skat(objects, held, start, radius).collect())) == sorted(map(tuple, cluster.skat(objects, p, start, radius).collect()))
+    assert found(cluster.forel_then_path(objects, held, radius, 0.7)) == found(cluster.forel_then_path(objects, p, radius, 0.7))
