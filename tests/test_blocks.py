@@ -119,3 +119,27 @@ def test_spheres_by_rankings(spark, serp, objects, rankings, way, radius):
     assert found(cluster.forel(objects, held, radius, tries=25)) == found(start)
     assert sorted(map(tuple, cluster.skat(objects, held, start, radius).collect())) == sorted(map(tuple, cluster.skat(objects, p, start, radius).collect()))
     assert found(cluster.forel_then_path(objects, held, radius, 0.7)) == found(cluster.forel_then_path(objects, p, radius, 0.7))
+
+
+@pytest.mark.parametrize("method", sorted(cluster.METHODS))
+def test_linkage_by_rankings(spark, serp, objects, rankings, method, monkeypatch):
+    """The merges that the pairs give, without a row for each pair in a task."""
+    p = spark.createDataFrame([(a, b, c, round(1 - c / DEPTH, 6)) for (a, b), c in common(rankings).items() if c], "i long, j long, common long, dist double").persist()
+    want = sorted(map(tuple, cluster.linkage(objects, p, method).collect()))
+    monkeypatch.setattr(cluster, "pairs", None)
+    got = sorted(map(tuple, cluster.linkage(objects, cluster.Rankings(serp), method).collect()))
+    assert [x[:4] + x[5:] for x in got] == [x[:4] + x[5:] for x in want] and want
+    assert np.allclose([x[4] for x in got], [x[4] for x in want], atol=2e-6)
+
+
+def test_agglomeration_takes_one_matrix():
+    """At most two matrices of eight bytes an object pair, the caller's own among them; before it took four more."""
+    import tracemalloc
+
+    d = np.random.default_rng(3).random((400, 400))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    tracemalloc.start()
+    cluster.merge_order(d, "average")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * d.nbytes
