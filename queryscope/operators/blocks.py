@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ BLOCK, LEAST_BLOCK = 8192, 256
 CELLS = 1 << 20
 #: Most different items of two blocks for which counts come from a matrix product.
 PRODUCT = 512
+#: Most rankings that copies of one ranking are paired with at a time; a multiple of 8, the values that Parquet packs together.
+RUN = 128
+#: Fewest pairs of a batch, but for the last.
+BATCH = 1 << 17
 
 
 def distance(common: Column, depth: int) -> Column:
@@ -49,12 +55,15 @@ class Rankings:
         """The rankings of the queries (query_id)."""
         return Rankings(self.rows.join(ids, "query_id", "left_semi"), self.held)
 
-    def meet(self, task: Callable, schema: str, labels: DataFrame | None = None) -> DataFrame:
-        """``task`` (a, b, whether they are one block, counts by rows of a) for every two blocks; ``labels`` is (query_id, label)."""
-        lists = self.rows.groupBy("query_id").agg(F.collect_list("item").alias("items"))
+    def meet(self, task: Callable, schema: str, labels: DataFrame | None = None, alike: bool = False) -> DataFrame:
+        """``task`` (a, b, whether they are one block, counts by rows of a) for every two blocks; ``labels`` is (query_id, label).
+
+        ``alike``: rankings are dealt in order of their items, so that equal ones stand side by side, not of their queries.
+        """
+        lists = self.rows.groupBy("query_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
         if labels is not None:
             lists = lists.join(labels, "query_id")
-        placed = ranked(lists, F.asc("query_id"), name="place").withColumn("block", F.floor((F.col("place") - 1) / self.block))
+        placed = ranked(lists, *[F.asc("items")] * alike, F.asc("query_id"), name="place").withColumn("block", F.floor((F.col("place") - 1) / self.block))
         row = F.struct("place", *lists.columns)
         blocks = stored(placed.groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("rows")), "blocks")
         two = self.rows.sparkSession.range(self.blocks).select(F.col("id").alias("x"), F.explode(F.sequence("id", F.lit(self.blocks - 1).cast("long"))).alias("y"))
@@ -112,20 +121,101 @@ def _kind(rankings: Rankings) -> str:
     return rankings.rows.schema["query_id"].dataType.simpleString()
 
 
+class _Placed(NamedTuple):
+    """Rows of a block and the places of their queries in the order of all."""
+
+    rows: pa.StructArray
+    at: np.ndarray
+
+
+def runs(rows: pa.StructArray) -> np.ndarray:
+    """First places of the runs of rows that hold the same items."""
+    items = rows.field("items")
+    size = items.value_lengths().to_numpy(zero_copy_only=False)
+    code = items.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    other = np.bincount(row[code != code[np.arange(len(code)) - size[row]]], minlength=len(size)) > 0
+    other[1:] |= size[1:] != size[:-1]
+    other[0] = True
+    return np.flatnonzero(other)
+
+
+def _crossed(xs: np.ndarray, ys: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``xs`` with the lesser of the sorted ``ys``, upwards (not if ``later``), then with the greater ones, downwards."""
+    z = ys[::-1] if later else np.concatenate([ys, ys[::-1]])
+    down = np.arange(len(z)) >= len(z) - len(ys)
+    step = max(1, CELLS // len(z))
+    for lo in range(0, len(xs), step):
+        x = xs[lo : lo + step, None]
+        keep = np.where(down, z > x, z < x)
+        yield np.repeat(x[:, 0], np.count_nonzero(keep, axis=1)), np.broadcast_to(z, keep.shape)[keep]
+
+
+def _paired(xs: np.ndarray, ys: np.ndarray, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, common): equal rankings ``xs`` with all others of the sorted ``ys``.
+
+    Pairs come by common items and by runs of ``ys`` that the next of ``xs`` repeats, so that a columnar file holds little more
+    than one run for all copies of a ranking.
+    """
+    if len(xs) == 1:
+        order = np.argsort(2 * common + (ys > xs[0]), kind="stable")
+        yield np.full(len(ys), xs[0]), ys[order], common[order]
+        return
+    order = np.argsort(common, kind="stable")
+    ys, common = ys[order], common[order]
+    ends = np.flatnonzero(np.diff(common)) + 1
+    for lo, hi in zip([0, *ends], [*ends, len(ys)]):
+        for k in range(lo, hi, RUN):
+            for x, y in _crossed(xs, ys[k : min(k + RUN, hi)]):
+                yield x, y, np.full(len(x), common[lo])
+
+
 def pairs(rankings: Rankings, least: int = 1) -> DataFrame:
-    """(i, j, common) of queries i < j with at least ``least`` common items."""
+    """(i, j, common) of queries i < j with at least ``least`` common items; equal rankings of two blocks are compared once."""
     kind = _kind(rankings)
 
-    def task(a, b, same, counted):
-        ids_a, ids_b = a.field("query_id"), b.field("query_id")
-        for lo, c in counted():
-            if same:
-                c = np.triu(c, lo + 1)
-            at = np.flatnonzero(c.ravel() >= least)
-            i, j = np.divmod(at, len(b))
-            yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(i + lo)), ids_b.take(pa.array(j)), pa.array(c.ravel()[at].astype(np.int32))], ["i", "j", "common"])
+    def expanded(a, b, same, counted):
+        """(x, y, common) by places in the order of all queries."""
+        first_a, first_b = runs(a.rows), runs(b.rows)
+        order = np.argsort(b.at)
+        ys, of = b.at[order], (np.searchsorted(first_b, np.arange(len(b.at)), "right") - 1)[order]
+        ends = np.append(first_a[1:], len(a.at))
+        for lo, c in counted(a.rows.take(pa.array(first_a)), b.rows.take(pa.array(first_b))):
+            c = c.astype(np.uint16 if c.max(initial=0) < 1 << 15 else np.int64)
+            for p, row in enumerate(c, lo):
+                xs, common = np.sort(a.at[first_a[p] : ends[p]]), row[of]
+                if same and len(xs) > 1 and row[p] >= least:
+                    for k in range(0, len(xs), RUN):
+                        for x, y in _crossed(xs, xs[k : k + RUN], later=True):
+                            yield x, y, np.full(len(x), row[p])
+                met = common >= least
+                if same:
+                    met &= of > p
+                if met.any():
+                    yield from _paired(xs, ys[met], common[met])
 
-    return rankings.meet(task, f"i {kind}, j {kind}, common int").select("i", "j", F.col("common").cast("long").alias("common"))
+    def task(a, b, same, counted):
+        ids = pa.concat_arrays([a.field("query_id"), b.field("query_id")])
+        known = pc.unique(ids)
+        known = known.take(pc.sort_indices(known))
+        at = pc.index_in(ids, known).to_numpy(zero_copy_only=False).astype(np.int64)
+        some, n = [], 0
+
+        def batch():
+            x, y, common = (np.concatenate(column) for column in zip(*some))
+            return pa.RecordBatch.from_arrays([known.take(pa.array(np.minimum(x, y))), known.take(pa.array(np.maximum(x, y))), pa.array(common.astype(np.int32))], ["i", "j", "common"])
+
+        for part in expanded(_Placed(a, at[: len(a)]), _Placed(b, at[len(a) :]), same, counted):
+            some.append(part)
+            n += len(part[0])
+            if n >= BATCH:
+                yield batch()
+                some, n = [], 0
+        if n:
+            yield batch()
+
+    # of keys that may repeat the first query's count once, so its block must be the first
+    return rankings.meet(task, f"i {kind}, j {kind}, common int", alike=not rankings.held).select("i", "j", F.col("common").cast("long").alias("common"))
 
 
 def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

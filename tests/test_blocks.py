@@ -143,3 +143,48 @@ def test_agglomeration_takes_one_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2.5 * d.nbytes
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """40 copies of 40 rankings, 300 of another: (query_id, items) with the copies of a ranking far apart."""
+    rng = np.random.default_rng(5)
+    kinds = [sorted(rng.choice(24, DEPTH // 2, replace=False).tolist()) for _ in range(41)]
+    return [kinds[q % 40] for q in range(1600)] + [kinds[40]] * 300
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_copies_take_little_room(spark, copies, kind, monkeypatch, tmp_path):
+    """All pairs of equal and other rankings, in files of under four bits a pair (before nine)."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 1024)
+    name = (lambda q: f"q{q:05}") if kind == "string" else int
+    serp = spark.createDataFrame([(name(q), k + 1, i) for q, items in enumerate(copies) for k, i in enumerate(items)], f"query_id {kind}, pos int, item int")
+    assert cluster.Rankings(serp).crowded
+    cluster.pairs(serp, DEPTH).write.parquet(str(tmp_path / "pairs"))
+    held = np.zeros((len(copies), 24), int)
+    for q, items in enumerate(copies):
+        held[q, items] = 1
+    want = np.triu(held @ held.T, 1)
+    got = pq.read_table(tmp_path / "pairs").to_pandas()
+    at = [got[c].str[1:].astype(int).values if kind == "string" else got[c].values for c in "ij"]
+    assert len(got) == np.count_nonzero(want) and (want[*at] == got["common"].values).all() and len(np.unique(at[0] * len(copies) + at[1])) == len(got)
+    assert np.allclose(got["dist"], 1 - got["common"] / DEPTH)
+    if kind == "long":
+        assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) * 8 / len(got) < 4
+
+
+@pytest.mark.parametrize("size", [1, 3, 70])
+def test_runs_of_pairs(size, monkeypatch):
+    """Every pair once whatever the lengths of runs and of parts of them."""
+    monkeypatch.setattr(blocks, "RUN", 8)
+    monkeypatch.setattr(blocks, "CELLS", 40)
+    rng = np.random.default_rng(size)
+    places = rng.permutation(200)
+    xs, ys = np.sort(places[:size]), np.sort(places[size:])
+    common = rng.integers(1, 4, len(ys)).astype(np.uint16)
+    got = [r for part in blocks._paired(xs, ys, common) for r in zip(*(x.tolist() for x in part))]
+    assert sorted(got) == sorted((x, y, c) for x in xs.tolist() for y, c in zip(ys.tolist(), common.tolist()))
+    inside = [r for k in range(0, size, 8) for part in blocks._crossed(xs, xs[k : k + 8], later=True) for r in zip(*(x.tolist() for x in part))]
+    assert sorted(inside) == [(x, y) for x in xs.tolist() for y in xs.tolist() if x < y]
