@@ -188,3 +188,15 @@ def test_runs_of_pairs(size, monkeypatch):
     assert sorted(got) == sorted((x, y, c) for x in xs.tolist() for y, c in zip(ys.tolist(), common.tolist()))
     inside = [r for k in range(0, size, 8) for part in blocks._crossed(xs, xs[k : k + 8], later=True) for r in zip(*(x.tolist() for x in part))]
     assert sorted(inside) == [(x, y) for x in xs.tolist() for y in xs.tolist() if x < y]
+
+
+def test_graph_of_copies_takes_little_room(spark, copies, monkeypatch, tmp_path):
+    """The edges of copies, all of them, in files of under four bits an edge."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 1024)
+    serp = spark.createDataFrame([(q, k + 1, i) for q, items in enumerate(copies) for k, i in enumerate(items)], "query_id long, pos int, item int")
+    cluster.similarity_graph(cluster.pairs(serp, DEPTH), DEPTH).write.parquet(str(tmp_path / "graph"))
+    sets = [frozenset(x) for x in copies]
+    want = sum(len(a & b) / DEPTH for a, b in combinations(sets, 2))
+    n, weight, ordered = spark.read.parquet(str(tmp_path / "graph")).selectExpr("count(distinct src, dst)", "sum(weight)", "bool_and(src < dst)").first()
+    assert n == sum(not a.isdisjoint(b) for a, b in combinations(sets, 2)) and abs(weight - want) < 1e-3 and ordered
+    assert sum(f.stat().st_size for f in (tmp_path / "graph").glob("*.parquet")) * 8 / n < 4
