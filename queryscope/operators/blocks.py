@@ -31,11 +31,21 @@ RUN = 128
 BATCH = 1 << 17
 
 
-def distance(common: Column, depth: int) -> Column:
-    """1 - common / depth, rounded half up to six places; looked up as far as counts are within the depth."""
-    places = [float(Decimal(repr(1 - c / depth)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for c in range(depth + 1)]
+def _by_count(common: Column, depth: int, exact: Callable[[int], float], formula: Column) -> Column:
+    """``formula`` of common items, rounded half up to six places; looked up by ``exact`` as far as counts are within the depth."""
+    places = [float(Decimal(repr(exact(c))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for c in range(depth + 1)]
     known = F.element_at(F.array(*[F.lit(x) for x in places]), (common + 1).cast("int"))
-    return F.when(common <= depth, known).otherwise(F.round(1 - common / depth, 6))
+    return F.when(common <= depth, known).otherwise(F.round(formula, 6))
+
+
+def distance(common: Column, depth: int) -> Column:
+    """1 - common / depth, rounded half up to six places."""
+    return _by_count(common, depth, lambda c: 1 - c / depth, 1 - common / depth)
+
+
+def share(common: Column, depth: int) -> Column:
+    """common / depth, rounded half up to six places."""
+    return _by_count(common, depth, lambda c: c / depth, common / depth)
 
 
 class Rankings:
@@ -64,20 +74,23 @@ class Rankings:
         if labels is not None:
             lists = lists.join(labels, "query_id")
         placed = ranked(lists, *[F.asc("items")] * alike, F.asc("query_id"), name="place").withColumn("block", F.floor((F.col("place") - 1) / self.block))
-        row = F.struct("place", *lists.columns)
-        blocks = stored(placed.groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("rows")), "blocks")
-        two = self.rows.sparkSession.range(self.blocks).select(F.col("id").alias("x"), F.explode(F.sequence("id", F.lit(self.blocks - 1).cast("long"))).alias("y"))
-        two = two.join(blocks.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x").join(blocks.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y")
+        rows = F.array_sort(F.collect_list(F.struct("place", *lists.columns)))
+        blocks = stored(placed.groupBy("block").agg(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in lists.columns])).alias("rows")), "blocks")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.blocks - 1).cast("long"))).alias("other")
+        two = blocks.select("block", "rows", other).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rows")
         meetings = max(1, self.blocks * (self.blocks + 1) // 2)
         held = self.held
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, a = None, None
             for batch in batches:
-                for k in range(batch.num_rows):
-                    a, b = batch["a"][k].values, batch["b"][k].values
-                    yield from task(a, b, batch["x"][k].as_py() == batch["y"][k].as_py(), lambda a=a, b=b: counts(a, b, held))
+                for x, y, block, b in zip(*(batch[c].to_pylist() for c in ("x", "y", "block")), batch["rows"]):
+                    if block == x:
+                        at, a = (x, y), b.values
+                    if block == y and at == (x, y):
+                        yield from task(a, b.values, x == y, lambda a=a, b=b.values: counts(a, b, held))
 
-        return two.repartitionByRange(min(meetings, 20_000), "x", "y").select("x", "y", "a", "b").mapInArrow(run, schema)
+        return two.repartitionByRange(min(meetings, 20_000), "x", "y").sortWithinPartitions("x", "y", "block").select("x", "y", "block", "rows").mapInArrow(run, schema)
 
 
 def counts(a: pa.StructArray, b: pa.StructArray, held: bool = False) -> Iterator[tuple[int, np.ndarray]]:

@@ -200,3 +200,19 @@ def test_graph_of_copies_takes_little_room(spark, copies, monkeypatch, tmp_path)
     n, weight, ordered = spark.read.parquet(str(tmp_path / "graph")).selectExpr("count(distinct src, dst)", "sum(weight)", "bool_and(src < dst)").first()
     assert n == sum(not a.isdisjoint(b) for a, b in combinations(sets, 2)) and abs(weight - want) < 1e-3 and ordered
     assert sum(f.stat().st_size for f in (tmp_path / "graph").glob("*.parquet")) * 8 / n < 4
+
+
+def test_blocks_meet_in_one_exchange(serp):
+    """Rows of two blocks are shuffled once to where they meet (before three times, twice for joins)."""
+    for df in (blocks.pairs(cluster.Rankings(serp)), blocks.links(cluster.Rankings(serp))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("depth", [7, 10])
+def test_weights_come_from_a_table(spark, depth):
+    """Weights as rounding gives them, which within the depth are not rounded row by row."""
+    pairs = spark.range(1, depth + 4).selectExpr("id as i", "id + 100 as j", "id as common")
+    graph = cluster.similarity_graph(pairs, depth)
+    assert [r["weight"] for r in graph.orderBy("src").collect()] == [r[0] for r in pairs.selectExpr(f"round(common / {depth}, 6)", "i").orderBy("i").collect()]
+    assert "element_at" in graph._jdf.queryExecution().optimizedPlan().toString()
